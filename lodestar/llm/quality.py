@@ -128,10 +128,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     first = next(iter(FLOORS))
     cut = lambda keys, p: _fences(sketches, keys).select(*keys, *[F.col(f"{s}_t").alias(f"{p}{s}") for s in FLOORS], F.col(f"{first}_n").alias(f"{p}n"))
     own, lang = cut(["lang", "source"], "o_"), cut(["lang"], "l_")
-    every = _fences(sketches.withColumn("one", F.lit(1)), ["one"]).select("one", *[F.col(f"{s}_t").alias(f"a_{s}") for s in FLOORS])
-    chosen = lambda s: F.when(F.col("o_n") >= MIN_GROUP, F.col(f"o_{s}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{s}")).otherwise(F.col(f"a_{s}"))
-    # `every` is a single row
-    return own.withColumn("one", F.lit(1)).join(lang, "lang").join(F.broadcast(every), "one").select("lang", "source", *[chosen(s).cast("int").alias(f"t_{s}") for s in FLOORS])
+    every = _fences(sketches.withColumn("one", F.lit(1)), ["one"]).first()  # a single row
+    chosen = lambda s: F.when(F.col("o_n") >= MIN_GROUP, F.col(f"o_{s}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{s}")).otherwise(F.lit(every[f"{s}_t"] if every else 1000))
+    return own.join(lang, "lang").select("lang", "source", *[chosen(s).cast("int").alias(f"t_{s}") for s in FLOORS])
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:

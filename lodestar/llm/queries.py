@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality
+from . import bpe, chat, decontam, quality, wavelet
 from .common import read_table
 
 
@@ -14,9 +14,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet(read_table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_chat": chat.op2_chat}
+    return {"op1_quality": op1_quality, "op2_chat": chat.op2_chat, "op6_decontamination": op6_decontamination, "op9_wavelet": op9_wavelet, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL}
+    return {"op1_quality": quality.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL}
