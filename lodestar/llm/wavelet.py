@@ -30,7 +30,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import tune, written
 
@@ -246,7 +245,6 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
 def read_files(files: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     tune(files.sparkSession)
-    schema = T.StructType().add("part", "int").add("doc_id", "long").add("at", "long").add("n_tokens", "long").add("ids_crc32", "long")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -258,7 +256,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].data) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(crcs), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(begins + first), pa.array(lengths), pa.array(crcs, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "first", "data").mapInArrow(run, schema)
+    rows = files.select("part", "first", "data").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row per part, and parts are as many as shuffle partitions: a proven bound for the broadcast
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
