@@ -53,9 +53,9 @@ def linear_tree(conversations: DataFrame) -> DataFrame:
     )
 
 
-def pointers(nodes: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: (tree_id, node_id, up, total, hops) with the ancestor 2**k steps up, or null beyond the
-    root, and the score and number of nodes gathered on the way. The last one has no ancestors left."""
+def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For k = 0, 1, ...: (tree_id, node_id, up, total, hops) of the nodes that have an ancestor ``up`` 2**k steps above;
+    and of all nodes the score and the number of nodes of the whole path to the root. Nodes whose path is complete are joined no more."""
     key = nodes.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = key.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
     level = written(
@@ -63,36 +63,39 @@ def pointers(nodes: DataFrame) -> list[DataFrame]:
         .select("tree_id", "node_id", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")),
         "chat-up0",
     )
-    levels = [level]
-    while len(levels) < MAX_LEVELS and not level.filter("up is not null").isEmpty():
-        above = level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
+    levels, done = [], level.filter("up is null")
+    live = level.filter("up is not null")
+    while not live.isEmpty():
+        if len(levels) == MAX_LEVELS:
+            raise ValueError("the replies form a cycle")
+        levels.append(live)
+        every = done.unionByName(live)
+        above = every.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
         level = written(
-            level.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p")), "left")
-            .select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")),
+            live.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p")))
+            .select("tree_id", "node_id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops")),
             f"chat-up{len(levels)}",
         )
-        levels.append(level)
-    if len(levels) == MAX_LEVELS:
-        raise ValueError("the replies form a cycle")
-    return levels
+        done, live = done.unionByName(level.filter("up is null")), level.filter("up is not null")
+    return levels, done
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """The nodes of each tree's ``branches`` best root-to-leaf paths: nodes' columns with branch (from 1), position (from 0) and path_score.
 
     Ties between paths go to the longer one, then to the smaller leaf id."""
-    levels = pointers(nodes)
+    levels, whole = pointers(nodes)
     parents = nodes.filter("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
-    leaves = levels[-1].join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
+    leaves = whole.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p")), "left_anti")
     best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("hops"), "node_id")
     at = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree_id", "branch", F.col("total").alias("path_score"), "node_id")
-    for k, level in enumerate(levels[:-1]):
-        up = level.filter("up is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), "up")
+    for k, level in enumerate(levels):
+        up = level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), "up")
         higher = at.join(up, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p"))).select("tree_id", "branch", "path_score", F.col("up").alias("node_id"))
         at = at.unionByName(higher)
         if k % 3 == 2:
             at = written(at, f"chat-path{k}")
-    depth = levels[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), (F.col("hops") - 1).alias("position"))
+    depth = whole.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), (F.col("hops") - 1).alias("position"))
     at = at.join(depth, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p"))).drop("t", "p")
     told = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), "role", "text")
     return at.join(told, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("p"))).drop("t", "p")
