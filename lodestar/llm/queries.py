@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, lmscore, pii, quality, secrets, toxicity, wavelet
+from . import bpe, chat, decontam, jaccard, lmscore, pii, quality, secrets, toxicity, wavelet
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": chat.op2_chat,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_secrets": op4_secrets,
+        "op5_jaccard": op5_jaccard,
         "op6_decontamination": op6_decontamination,
         "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
