@@ -20,25 +20,30 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .bpe import byte_letters
+from .common import Remembered, tune, written
 
 #: Ids of one file, at least one document; small enough for a cache of the CPU.
-FILE_IDS = 1 << 20
-#: Entries of the worker's cache of words; it is emptied when full.
-CACHE = 1_000_000
-#: Texts with these are encoded in one piece: special tokens, and characters that split() but not the tokenizer takes for white space.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+FILE_IDS = 1 << 18
+#: Entries of one generation of the worker's cache of words.
+CACHE = 350_000
+#: Texts with these are encoded in one piece, as split() takes them for white space and the tokenizer does not; so are texts with special tokens.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Fixed value: the pre-tokenizer's pattern.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _HEAD = struct.Struct("<4sBBQQ")
 
 
@@ -51,24 +56,25 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
+        ids, spare = ids.copy(), np.empty_like(ids)
         for k in range(bits - 1, -1, -1):
-            ones = (ids >> ids.dtype.type(k) & ids.dtype.type(1)).view(np.uint8) if ids.dtype == np.uint8 else (ids >> ids.dtype.type(k) & ids.dtype.type(1)).astype(bool)
-            ones = ones.astype(bool, copy=False)
+            ones = (ids & ids.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = ids[~ones]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
+            zeros.append(len(ids) - int(np.count_nonzero(ones)))
+            ids.compress(~ones, out=spare[: zeros[-1]])
+            ids.compress(ones, out=spare[zeros[-1] :])
+            ids, spare = spare, ids
         return cls(len(ids), planes, zeros)
 
     def decode(self, dtype: type = np.uint16) -> np.ndarray:
         """All ids in order, undoing the planes from the lowest bit."""
-        ids = np.zeros(self.n, dtype)
+        ids, spare = np.zeros(self.n, dtype), np.empty(self.n, dtype)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(ids)
-            above[~ones] = ids[:zeros]
-            above[ones] = ids[zeros:] | dtype(1 << k)
-            ids = above
+            ids[zeros:] |= dtype(1 << k)
+            spare[np.flatnonzero(~ones)] = ids[:zeros]
+            spare[np.flatnonzero(ones)] = ids[zeros:]
+            ids, spare = spare, ids
         return ids
 
     def _directory(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,14 +169,15 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return doc_ids, lengths, WaveletMatrix(n, planes, zeros)
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """The library's encoder behind a cache from a word (text without white space) to its packed ids.
 
     The tokenizer's pattern drops white space and never spans it, and no normalisation crosses it,
-    so the ids of a text are those of its words in turn."""
+    so the ids of a text are those of its words in turn. A word of plain Latin letters, on which the
+    normalisation is lower-casing alone, is cut into the pattern's pieces, and each goes to the
+    library's model; any other word goes to the library whole."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,24 +186,34 @@ class WordEncoder(dict):
         self.tok.no_truncation()
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
-        self.dtype = np.uint16 if self.bits <= 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if self.bits <= 16 else (np.uint32, "I")
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = [letters[b] for b in range(256)]
+        self.model = self.tok.model
+        self.words = Remembered(self._word, CACHE)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(WHOLE.search(t)) for t in texts]
-        split = [None if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = list({word for words in split if words for word in words if word not in self})
-        own = self
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list({word for words in split if words for word in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                own[word] = self.pack(e.ids)
-        return [self.pack(self.tok.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(own.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        # printable ASCII letters stand for their own bytes
+        spelt = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        return self.pack([t.id for t in self.model.tokenize(spelt)])
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+            return self.pack(self.tok.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(word) if low == word else self.words[low]
+        pieces = PIECE.findall(low)
+        # a piece is a word of its own, and is remembered as such
+        return self._piece(word) if len(pieces) == 1 and low == word else b"".join([self.words[x] for x in pieces])
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text or ODD_SPACE.search(text):
+            return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=4)
@@ -227,10 +244,9 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([part, first, len(ids), data], schema, strict=True)], schema=schema)
 
         for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held_docs.append(doc)
-                held.append(ids + end)
+                held.append(enc.encode(text or "") + end)
                 size += len(held[-1]) // enc.dtype().itemsize
                 if size >= FILE_IDS:
                     yield flush()
