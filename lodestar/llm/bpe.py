@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import Remembered, tune
 
-#: Entries of the worker's cache of pieces; it is emptied when full.
-CACHE = 1_000_000
+#: Entries of one generation of the worker's cache of pieces.
+CACHE = 350_000
 #: Fixed values of the byte-level pre-tokenizer: its pattern, and white space as it knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -88,11 +89,10 @@ def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
-class ByteBpe(dict):
-    """Encoder and decoder of one vocabulary file; as a dict, the cache from a piece to its ids as bytes."""
+class ByteBpe:
+    """Encoder and decoder of one vocabulary file; ``pieces`` remembers the packed ids of pieces and of the words they are made of."""
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -110,22 +110,19 @@ class ByteBpe(dict):
             self.bytes[i] = token.encode()
         self.words = regex.compile(PATTERN)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in self.words.findall(piece):
-            ids += merge([self.first[b] for b in word.encode()], self.ranks)
-        if len(self) >= CACHE:
-            self.clear()
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        self.pieces = Remembered(self._piece, CACHE)
+
+    def _piece(self, piece: str) -> bytes:
+        words = self.words.findall(piece)
+        if len(words) > 1:
+            return b"".join([self.pieces[w] for w in words])
+        return array("I", merge([self.first[b] for b in piece.encode()], self.ranks)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.cut and self.cut.search(text):
-            return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(self.__getitem__, PIECES.findall(x))) for x in self.cut.split(text))
-        return b"".join(map(self.__getitem__, PIECES.findall(text)))
+            return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(self.pieces.__getitem__, PIECES.findall(x))) for x in self.cut.split(text))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
