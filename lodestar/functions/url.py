@@ -63,6 +63,12 @@ def registrable_domain(host: Column) -> Column:
     return F.when(F.size(labels) <= 2, F.array_join(labels, ".")).when(two.isin(*SUFFIXES), three).otherwise(two)
 
 
+def bound(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the column evaluated once: later filters and projections on it don't copy its expression down the plan."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(F.col(f"`{name}`"))).alias(name))
+
+
 def with_url(df: DataFrame, source: str = "url", into: str = "u") -> DataFrame:
     """``df`` with a struct ``into``: key, host, domain, path, scheme; null where ``source`` is no web address with a dotted host."""
     kept = df.columns
@@ -95,7 +101,7 @@ def with_url(df: DataFrame, source: str = "url", into: str = "u") -> DataFrame:
     key = F.concat("_scheme", F.lit("://"), "_host", port, "_path", F.when(F.col("_q") != "", F.concat(F.lit("?"), "_q")).otherwise(F.lit("")))
     valid = (F.col("_raw") != "") & F.col("_scheme").isin("http", "https") & F.col("_host").rlike(r"^[^\s<>\[\]^|%/?#@:]*\.[^\s<>\[\]^|%/?#@:]*$")
     made = F.when(valid, F.struct(key.alias("key"), F.col("_host").alias("host"), registrable_domain(F.col("_host")).alias("domain"), F.col("_path").alias("path"), F.col("_scheme").alias("scheme")))
-    return s8.select(*[F.col(f"`{c}`") for c in kept if c != into], made.alias(into))
+    return bound(s8.select(*[F.col(f"`{c}`") for c in kept if c != into], made.alias(into)), into)
 
 
 def host_matches(host: Column, wanted: Column) -> Column:

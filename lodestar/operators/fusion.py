@@ -179,7 +179,7 @@ def filter_domains(results: DataFrame, include: Iterable[str] = (), exclude: Ite
 def rewrite_urls(rankings: DataFrame) -> DataFrame:
     """Redirect wrappers replaced by the targets inside them, where these can be decoded and are no wrappers; ``wrapper_url`` keeps the old one. Fuse afterwards."""
     parsed = url.with_url(rankings, "url", "_u").withColumn("_t", F.when(url.is_wrapper(F.col("url"), "_u"), url.wrapper_target(F.col("url"))))
-    checked = url.with_url(parsed, "_t", "_tu")
+    checked = url.with_url(url.bound(parsed, "_t"), "_t", "_tu")
     good = F.col("_t").isNotNull() & F.col("_tu").isNotNull() & ~url.is_wrapper(F.col("_t"), "_tu")
     return checked.withColumn("wrapper_url", F.when(good, F.col("url"))).withColumn("url", F.when(good, F.col("_t")).otherwise(F.col("url"))).drop("_u", "_t", "_tu")
 

@@ -24,9 +24,9 @@ def expansion_terms(queries: DataFrame, results: DataFrame, scanned: int = 12) -
     own = queries.select("query_id", text.unique_terms(F.col("query")).alias("own"))
     terms = top.join(own, "query_id").select("query_id", "pos", "said", F.explode(F.array_except(F.array_distinct(text.tokens(F.col("said"))), F.col("own"))).alias("term"))
     usable = ((F.length("term") >= 3) | F.col("term").rlike("[㐀-鿿]")) & ~F.col("term").rlike("^[0-9]+$")
-    shown = F.regexp_extract(F.col("said"), F.concat(F.lit(r"(?i)\b(\Q"), F.col("term"), F.lit(r"\E)\b")), F.lit(1))
+    shown = F.regexp_substr("said", F.concat(F.lit(r"(?i)\b\Q"), F.col("term"), F.lit(r"\E\b")))
     counted = terms.filter(usable).groupBy("query_id", "term").agg(F.countDistinct("pos").alias("df"), F.min_by(F.struct(F.col("said"), F.col("term")), "pos").alias("f"))
-    named = counted.withColumn("said", F.col("f.said")).withColumn("shown", F.when(shown != "", shown).otherwise(F.col("term"))).drop("said", "f")
+    named = counted.withColumn("said", F.col("f.said")).withColumn("shown", F.coalesce(shown, F.col("term"))).drop("said", "f")
     limit = F.greatest(F.lit(3), F.ceil(F.col("n_results") * 0.8))
     kept = named.join(total, "query_id").filter((F.col("df") >= 2) & (F.col("df") <= limit))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("df"), "term"))

@@ -135,7 +135,7 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
 h as (select query_id, p, doc_id, sum(wt) as f from q join o on starts_with(o.term, q.p) group by 1, 2, 3),
 df as (select query_id, p, count(*) as df from h group by 1, 2),
 s as (select h.query_id, h.doc_id, count(*) as m, sum(greatest(ln((n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avg))) as score from h join df on h.query_id = df.query_id and h.p = df.p join dl on h.doc_id = dl.doc_id, st group by 1, 2)
-select query_id, doc_id, round(score, 4) as score, pos from (select s.query_id, doc_id, score, row_number() over (partition by s.query_id order by round(score, 4) desc, doc_id) as pos from s join (select query_id, count(*) as need from q group by 1) w on s.query_id = w.query_id and s.m = w.need) where pos <= 10""",
+select query_id, doc_id, score, pos from (select s.query_id, doc_id, score, row_number() over (partition by s.query_id order by score desc, doc_id) as pos from (select query_id, doc_id, m, round(round(score, 5 - floor(log10(score))::int), 4) as score from s) s join (select query_id, count(*) as need from q group by 1) w on s.query_id = w.query_id and s.m = w.need) where pos <= 10""",
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Search without stemming, which SQL can follow; ties in four decimals go by document."""
