@@ -29,7 +29,7 @@ from .common import as_bytes, tune
 from .decontam import words_of
 
 VOCABULARY = 32_768
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 MIX = 0.7
 SMOOTHING = 0.5
 #: Distinct words after which a task passes on its partial counts.
@@ -75,10 +75,10 @@ def symbols(text: bytes | None, vocab: dict[bytes, int]) -> np.ndarray:
 
 
 def counts(docs: DataFrame, target: DataFrame, vocab) -> np.ndarray:
-    """Rows for target and background; columns: histories 0..V+1 (V+1 starts a document), words 0..V, cells."""
+    """The join is by sorting at every size, as target lists grow with the corpus. Rows for target and background; columns: histories 0..V+1 (V+1 starts a document), words 0..V, cells."""
     size = len(vocab.value)
     width = (size + 2) + (size + 1) + BUCKETS
-    marked = docs.select("doc_id", "text").join(target.select("doc_id").filter("doc_id is not null").distinct().withColumn("hit", F.lit(True)), "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
+    marked = docs.select("doc_id", "text").join(target.select("doc_id").filter("doc_id is not null").distinct().withColumn("hit", F.lit(True)).hint("merge"), "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, width), np.int64)
