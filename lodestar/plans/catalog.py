@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fusion, texts
+from . import fusion, state, texts
 
-_MODULES = (fusion, texts)
+_MODULES = (fusion, texts, state)
 FLAGSHIP = "fused_top10"
 
 
