@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Remembered, tune
+from .common import Remembered, map_arrow, tune
 
 #: Entries of one generation of the worker's cache of pieces.
-CACHE = 350_000
+CACHE = 250_000
 #: Fixed values of the byte-level pre-tokenizer: its pattern, and white space as it knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -157,5 +157,6 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Dat
                     coded.append(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(coded, pa.binary())] if with_ids else []), names=names)
+        tok.pieces.forget()
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs, run, T.StructType(fields))

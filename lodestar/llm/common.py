@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch sent to a Python worker; keeps long texts from piling up in one batch.
 BATCH_BYTES = 8 << 20
@@ -82,3 +85,29 @@ class Remembered(dict):
         if len(key) <= 64:
             self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+def release() -> None:
+    """Give memory back to the system: Python workers live on, and the next stage may run in the same one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` whose tasks release their memory when they end."""
+
+    def lean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, tune, written
+from .common import as_bytes, map_arrow, tune, written
 from .wavelet import WaveletMatrix
 
 WINDOW = 10
@@ -209,7 +209,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Dat
                     items = [sorted({*a, *b}) for a, b in zip(batch.column(len(names) - 1).to_pylist(), items, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 3], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=names)
 
-        out = (docs if out is None else written(out, "hits")).mapInArrow(run, schema)
+        out = map_arrow((docs if out is None else written(out, "hits")), run, schema)
     return out
 
 
@@ -240,7 +240,7 @@ def decontaminate_filter(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns[at] = pa.array(left, pa.binary()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(keep)
 
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)
 
 
 def without(text: bytes, spans: list[int]) -> bytes:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, tune, written
+from .common import as_bytes, map_arrow, tune, written
 from .graph import components
 
 SHINGLE = 3
@@ -181,7 +181,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 keys[i] = k.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "did", "th", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, node long, did long, th long, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, n long, node long, did long, th long, keys array<long>")
 
 
 def node_of(s: np.ndarray) -> int:
@@ -208,7 +208,7 @@ def shared_blocks(documents: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hubs[keep]), pa.array(node[keep])], names=["key", "hub", "node"])
 
-    return rows.mapInArrow(run, "key long, hub long, node long")
+    return map_arrow(rows, run, "key long, hub long, node long")
 
 
 def texts_of(docs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["hub", "node"])
 
-    return dealt.mapInArrow(run, "hub long, node long")
+    return map_arrow(dealt, run, "hub long, node long")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -322,7 +322,7 @@ def tree_pairs(blocks: DataFrame, first: DataFrame, texts: DataFrame) -> DataFra
             sets = [shingle_set(t, hashes) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "bits"])
 
-    signed = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(bits, "node long, size long, bits binary")
+    signed = map_arrow(texts.join(rows.select("node").distinct(), "node", "left_semi"), bits, "node long, size long, bits binary")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.array(F.pmod(F.hash("node"), chunks))
     dealt = rows.withColumn("chunk", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(F.sequence(F.lit(0), chunks - 1))))
@@ -346,7 +346,7 @@ def tree_pairs(blocks: DataFrame, first: DataFrame, texts: DataFrame) -> DataFra
         if held:
             yield from block_pairs(held, last[1])
 
-    return full.mapInArrow(search, "hub long, node long").distinct()
+    return map_arrow(full, search, "hub long, node long").distinct()
 
 
 def block_pairs(held: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, tune
+from .common import as_bytes, map_arrow, tune
 from .decontam import words_of
 
 VOCABULARY = 32_768
@@ -53,7 +53,7 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
                     held.clear()
         yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     return {bytes(r.word): i + 1 for i, r in enumerate(top)}
 
@@ -102,7 +102,7 @@ def counts(docs: DataFrame, target: DataFrame, vocab) -> np.ndarray:
             part = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[0][part]), pa.array(sums[1][part])], names=["at", "t", "b"])
 
-    summed = marked.mapInArrow(run, "at long, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # at most `width` rows
+    summed = map_arrow(marked, run, "at long, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()  # at most `width` rows
     out = np.zeros((2, width), np.int64)
     at = summed.column("at").to_numpy()
     out[0, at], out[1, at] = summed.column("t").to_numpy(), summed.column("b").to_numpy()
@@ -153,4 +153,4 @@ def lm_scores(docs: DataFrame, target: DataFrame) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs, run, T.StructType(fields))

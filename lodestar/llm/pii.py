@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune
+from .common import map_arrow, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -226,7 +226,7 @@ def sampled(docs: DataFrame) -> list[tuple[list[int], int, int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int32())), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["f", "y", "b", "o"])
 
     # both the ids and the rows are bounded by the sample's parameters
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "f array<int>, y int, b int, o int").collect()
+    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), run, "f array<int>, y int, b int, o int").collect()
     return [(list(r.f), r.y, r.b, r.o) for r in rows]
 
 
@@ -306,4 +306,4 @@ def pii(docs: DataFrame) -> DataFrame:
             every = [joined(sorted(spans + added(t, spans, model))) for t, spans in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(every, pa.string())], names=names)
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs, run, T.StructType(fields))

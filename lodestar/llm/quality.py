@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_bytes, tune, written
+from .common import ASCII_SPACE, as_bytes, map_arrow, tune, written
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -84,7 +84,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             values = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(values, fields=fields)], names=[*batch.schema.names, "_q"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def signals(q: str = "_q") -> dict[str, Column]:

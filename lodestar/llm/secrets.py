@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, tune
+from .common import as_bytes, map_arrow, tune
 
 #: Most strings that a literal stretch may stand for before it is cut.
 MAX_STRINGS = 64
@@ -228,7 +228,7 @@ def map_spans(docs: DataFrame, rules: tuple[Rule, ...], fields: list[T.StructFie
         for batch in it:
             yield pa.RecordBatch.from_arrays(make(batch, scanner.scan(as_bytes(batch.column(at)))), names=names)
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs, run, T.StructType(fields))
 
 
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

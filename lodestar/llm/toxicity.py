@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, tune
+from .common import as_bytes, map_arrow, tune
 from .decontam import FOLD
 
 #: Most labelled documents that training reads, and the fewest of them a word must stand in.
@@ -80,7 +80,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[int]]]:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.list_(pa.int64()))], names=["y", "words"])
 
     # at most SAMPLE_DOCS ids; the rows collected are bounded by the sample's parameters
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(run, "y int, words array<long>")
+    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), run, "y int, words array<long>")
     table = rows.limit(2 * SAMPLE_DOCS).toArrow()
     return [(y, w) for y, w in zip(table.column("y").to_pylist(), table.column("words").combine_chunks(), strict=True)] if table.num_rows else []
 
@@ -197,4 +197,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = sigmoid(sums + bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[f.name for f in fields])
 
-    return scored.mapInArrow(run, T.StructType(fields))
+    return map_arrow(scored, run, T.StructType(fields))

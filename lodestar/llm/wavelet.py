@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Remembered, tune, written
+from .common import Remembered, map_arrow, tune, written
 
 #: Ids of one file, at least one document; small enough for a cache of the CPU.
 FILE_IDS = 1 << 18
@@ -254,8 +254,9 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
                     held_docs, held, size = [], [], 0
         if held:
             yield flush()
+        enc.words.forget()
 
-    return written(ordered.mapInArrow(run, "part int, first long, n_ids long, data binary"), "wavelet")
+    return written(map_arrow(ordered, run, "part int, first long, n_ids long, data binary"), "wavelet")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -272,7 +273,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].data) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(crcs), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(begins + first), pa.array(lengths), pa.array(crcs, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "first", "data").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(files.select("part", "first", "data"), run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row per part, and parts are as many as shuffle partitions: a proven bound for the broadcast
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
