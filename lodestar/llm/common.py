@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch sent to a Python worker; keeps long texts from piling up in one batch.
@@ -46,6 +47,17 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns, and all others in one struct, so that no name of theirs clashes with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], needed: list[str]) -> DataFrame:
+    """The columns of ``packed`` as they were."""
+    return df.select(*[F.col(c) if c in needed else F.col(f"_rest.`{c}`").alias(c) for c in columns])
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

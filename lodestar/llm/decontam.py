@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_arrow, tune, written
+from .common import as_bytes, map_arrow, packed, tune, unpacked, written
 from .wavelet import WaveletMatrix
 
 WINDOW = 10
@@ -89,7 +89,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(h):
         key <<= bits
-        key[: n - k] |= seq[k:]
+        key[: max(0, n - k)] |= seq[k:]
     while True:
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -98,7 +98,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
         if n == 0 or rank[order[-1]] == n - 1:
             return order
         key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
+        key[: max(0, n - h)] += rank[h:] + 1
         h *= 2
 
 
@@ -228,8 +228,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate_filter(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the hit words cut out of their texts; a document that is left with no words goes."""
-    found = with_hits(docs, benchmark)
-    at, schema = docs.columns.index("text"), docs.schema
+    needed = ["text"]
+    plain = packed(docs, needed)
+    found = with_hits(plain, benchmark)
+    at, schema = plain.columns.index("text"), plain.schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -240,7 +242,7 @@ def decontaminate_filter(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns[at] = pa.array(left, pa.binary()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(keep)
 
-    return map_arrow(found, run, schema)
+    return unpacked(map_arrow(found, run, schema), docs.columns, needed)
 
 
 def without(text: bytes, spans: list[int]) -> bytes:

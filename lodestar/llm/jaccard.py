@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, tune, written
+from .common import as_bytes, map_arrow, packed, tune, unpacked, written
 from .graph import components
 
 SHINGLE = 3
@@ -391,5 +391,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = written(classes_of(docs.select("doc_id", "text")), "jaccard-classes")
     least = found.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "did", "th")).alias("at"))
     chosen = least.select(F.col("at.did").alias("_did"), F.col("at.th").alias("_th")).unionByName(found.filter("n = 0").select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct())
-    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64("text"))
-    return keyed.join(chosen, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]).select(*docs.columns)
+    needed = ["doc_id", "text"]
+    keyed = packed(docs, needed).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64("text"))
+    return unpacked(keyed.join(chosen, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]), docs.columns, needed)

@@ -36,6 +36,8 @@ SAMPLE_DOCS = 3000
 #: Candidate tokens of one document that enter training, evenly spread; labelling has no such bound.
 SAMPLE_TOKENS = 200
 CERTAIN = 0.95
+#: Pseudo-counts of the pairwise potentials: meetings by chance, and repetitions that agree.
+CHANCE, AGREEING = 5.0, 200.0
 ROUNDS = 10
 
 _HAS = re.compile(r"[0-9@]")
@@ -250,17 +252,18 @@ def train(rows: list[tuple[list[int], int, int, int]]) -> Model:
     prior = np.bincount([r[1] for r in rows], minlength=k).astype(float) + 1
     prior /= prior.sum()
 
-    def ratio(at: int) -> np.ndarray:
-        seen = np.ones((k, k))
+    def ratio(at: int, agreeing: float) -> np.ndarray:
+        # chance meetings as pseudo-counts leave pairs without evidence neutral; equal labels get a prior of their own
+        chance = np.outer(prior, prior)
+        seen = CHANCE * chance + agreeing * np.diag(prior)
         for r in rows:
             if r[at] >= 0:
                 seen[r[at], r[1]] += 1
-        # no evidence beyond the smoothing means no potential
-        return np.log(seen / seen.sum() / np.outer(prior, prior)).clip(-3, 3) if seen.sum() > k * k else np.zeros((k, k))
+        return np.log(seen / seen.sum() / chance).clip(-4, 4)
 
     if not any(r[1] for r in rows):
         unary[:, 0] += 10
-    return Model(unary, ratio(2), ratio(3))
+    return Model(unary, ratio(2, 0.0), ratio(3, AGREEING))
 
 
 def added(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:

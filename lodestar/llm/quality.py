@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, as_bytes, map_arrow, tune, written
+from .common import ASCII_SPACE, as_bytes, map_arrow, packed, tune, unpacked, written
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -34,6 +34,7 @@ MIN_GROUP = 30
 BROADCAST_GROUPS = 50_000
 SALTS = 64
 
+NEEDED = ["doc_id", "text", "lang", "source"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_lines", "n_upper"]
 
@@ -161,7 +162,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     tune(docs.sparkSession)
     measured = with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text")
     cuts = written(thresholds(measured), "quality-cuts")
-    return judged(with_counts(docs), cuts).filter("_kept").select(*docs.columns)
+    kept = judged(with_counts(packed(docs, NEEDED)), cuts).filter("_kept")
+    return unpacked(kept, docs.columns, NEEDED)
 
 
 _BINS = " union all ".join(f"select lang, source, '{s}' as signal, {s} as bin from s" for s in FLOORS)
@@ -179,15 +181,15 @@ def _sql_fence(keys: str) -> str:
 
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = rf"""
-with w as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents),
-p as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
-g as (select doc_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] as g from p),
-r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g) where n > 1),
-rw as (select doc_id, count(distinct i + k) as n from r, (select unnest([0, 1, 2]) as k) group by doc_id),
+with w as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents),
+p as (select r, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
+g as (select r, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] as g from p),
+h as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+rw as (select r, count(distinct i + k) as n from h, (select unnest([0, 1, 2]) as k) group by r),
 q as (select w.doc_id, lang, source, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_upper,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, coalesce(rw.n, 0)::bigint as n_repeat_words
-  from w left join rw on w.doc_id = rw.doc_id),
+  from w left join rw on w.r = rw.r),
 d as (select *, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from q),
 s as (select *, case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end as m_symbols, case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as m_dup_lines,
   case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as m_repeat_words, case when word_chars > 0 then n_upper * 1000 // word_chars else 0 end as m_upper from d),

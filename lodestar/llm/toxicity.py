@@ -109,6 +109,8 @@ def train(rows: list) -> tuple[float, dict[int, float]]:
     live = kept[inverse]
     of, column = of[live], number[inverse[live]]
     vocab = vocab[kept]
+    if not len(vocab):
+        return prior, {}
     # pairs (a, b): a document with the identity term a is read with b instead; the score changes by w[b] - w[a]
     place = {int(h): i for i, h in enumerate(vocab.tolist())}
     seen = {h: n for h, n in zip(vocab.tolist(), np.bincount(column, minlength=len(vocab)).tolist(), strict=True)}
@@ -116,7 +118,7 @@ def train(rows: list) -> tuple[float, dict[int, float]]:
     n, w, bias = len(y), np.zeros(len(vocab) + 1), prior  # the last weight stands for terms that no document has; it stays 0
     v, vb, t = w.copy(), bias, 1.0
     # step size from a bound of the curvature: the largest eigenvalue of X'X / 4n by power iteration
-    u = np.ones(len(vocab)) / math.sqrt(len(vocab) or 1)
+    u = np.ones(len(vocab)) / math.sqrt(len(vocab))
     top = 1.0
     for _ in range(8):
         z = np.bincount(of, u[column], n)
