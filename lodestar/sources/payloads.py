@@ -229,8 +229,9 @@ def rows(df: DataFrame, engine: str, limit: int = 20) -> DataFrame:
         s = JSON[engine]
         found = df.withColumn("p", F.from_json("payload", s.schema)).select("*", F.posexplode(F.slice(F.col(s.rows), 1, limit)).alias("i", "r")).withColumn("n", F.col("i") + 1)
         meta = s.meta()
-        out = found.select(*kept, "now", C("n").alias("rank"), s.title().alias("title"), s.url().alias("url"), s.snippet().alias("said"), s.date().alias("date"), _meta(meta))
-        out = out.withColumn("snippet", text.truncate(text.clean_snippet(C("said"), s.cap), s.cap)).withColumn("published_at", dates.parse_loose(C("date"), C("now")))
+        made = F.struct(C("n").alias("rank"), s.title().alias("title"), s.url().alias("url"), s.snippet().alias("said"), s.date().alias("date"), _meta(meta))
+        out = url.bound(found.select(*kept, "now", made.alias("m")), "m").select(*kept, "now", "m.*")
+        out = out.withColumn("snippet", text.clean_snippet(C("said"), s.cap)).withColumn("published_at", dates.parse_loose(C("date"), C("now")))
     elif engine == "arxiv":
         found = df.withColumn("e", _entries(C("payload"), "entry")).select("*", F.posexplode(F.slice("e", 1, limit)).alias("i", "x"))
         tag = lambda t: text.collapse_spaces(text.decode_entities(F.regexp_replace(F.regexp_extract(C("x"), rf"(?s)<{t}[^>]*>(.*?)</{t}>", 1), r"\s+", " ")))
@@ -252,7 +253,8 @@ def rows(df: DataFrame, engine: str, limit: int = 20) -> DataFrame:
         title = text.strip_host_prefix(C("r.title")) if engine in ("bing", "duckduckgo") else C("r.title")
         said = text.clean_snippet(C("r.snippet"))
         out = found.select(*kept, (C("i") + 1).alias("rank"), title.alias("title"), F.coalesce(target, plain).alias("url"), F.when(text.is_useless_snippet(said, title), F.lit("")).otherwise(said).alias("snippet"), dates.parse_loose(F.coalesce(C("r.date"), F.lit("")), C("now")).alias("published_at"), _meta({"wrapper": F.when(target.isNotNull(), C("r.url"))}))
-    done = out.select(*kept, F.lit(engine).alias("engine"), "rank", "title", "url", "snippet", "published_at", "meta")
+    row = F.struct("rank", "title", "url", "snippet", "published_at", "meta")
+    done = url.bound(out.select(*kept, row.alias("_row")), "_row").select(*kept, F.lit(engine).alias("engine"), "_row.*")
     return done.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
 
 
