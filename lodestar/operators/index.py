@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import fold, text
+from lodestar.functions.url import bound
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 4.0, "body": 1.0}
@@ -178,4 +179,5 @@ def highlight(rows: DataFrame, size: int = 18) -> DataFrame:
 
         return pd.Series([one(c, t) for c, t in zip(body, terms, strict=True)])
 
-    return rows.withColumn("snippet", mark(F.col("content"), F.filter(text.tokens(F.col("query")), lambda t: ~text.has_cjk(t))))
+    asked = rows.withColumn("_terms", F.filter(text.tokens(F.col("query")), lambda t: ~text.has_cjk(t)))
+    return bound(asked, "_terms").withColumn("snippet", mark(F.col("content"), F.col("_terms"))).drop("_terms")
