@@ -41,8 +41,7 @@ class Engine:
         """``pages`` has url (normalised) and content. Rankings of follow-up questions are those of the question they come from."""
 
         def search(asked: DataFrame) -> DataFrame:
-            base = asked.withColumn("_base", F.when(F.col("query_id") >= 100, F.floor(F.col("query_id") / 100)).otherwise(F.col("query_id")))
-            lists = base.select("query_id", "_base").join(rankings.withColumnRenamed("query_id", "_base"), "_base").drop("_base")
+            lists = asked.select("query_id", "root").join(rankings.withColumnRenamed("query_id", "root"), "root").drop("root")
             return planner.search(asked, lists, max(10, 2 * max_sources), self.config, include=include, exclude=exclude)
 
         return research.research(queries, search, pages, depth, _between(max_sources, 1, 15), _between(passages_per_source, 1, 8))

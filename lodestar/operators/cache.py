@@ -35,7 +35,7 @@ def lookup(table: DataFrame, wanted: DataFrame, key: list[str], ttl_s: int, now:
 def prune(table: DataFrame, now: Column, max_age_s: int | None = None, max_rows: int | None = None, at: str = "fetched_at", tie: str = "url") -> DataFrame:
     """Rows not older than an age, and of these the newest so many.
 
-    The cut is the time of the last row to keep, from counts per time, so rows are never gathered in one task."""
+    Each task keeps its newest ``max_rows`` at most, and those are merged: what one task holds is bounded by that parameter."""
     kept = table if max_age_s is None else table.filter(F.unix_micros(now) - F.unix_micros(F.col(at)) <= max_age_s * 1_000_000)
     return kept if max_rows is None else kept.orderBy(F.desc(at), F.asc(tie)).limit(max_rows)
 

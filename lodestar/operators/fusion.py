@@ -185,7 +185,7 @@ def rewrite_urls(rankings: DataFrame) -> DataFrame:
 
 
 def merge_lists(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two lists of one page (key, pos, title, snippet, published_at): rows of the first, their gaps filled from the second, then the rest of the second."""
+    """Two lists of one answer (key, pos, title, snippet, published_at), some tens of rows: those of the first, their gaps filled from the second, then the rest of the second."""
     a, b = first.alias("a"), second.alias("b")
     both = a.join(b, "key", "full_outer")
     text_of = lambda c: F.when(F.coalesce(F.col(f"a.{c}"), F.lit("")) != "", F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)

@@ -94,14 +94,17 @@ def brief_passages(sources: DataFrame, pages: DataFrame, queries: DataFrame, per
 
 
 def research(queries: DataFrame, search, pages: DataFrame, depth: int = 2, max_sources: int = 8, per_source: int = 4) -> DataFrame:
-    """One row per question and source, with its passages. ``search(queries)`` returns results with pos for (query_id, query)."""
+    """One row per question and source, with its passages.
+
+    ``search`` gets (query_id, root, query), where ``root`` is the question that a query stems from, and returns results with pos per query_id."""
     depth, max_sources = max(1, min(depth, 3)), max(1, min(max_sources, 15))
-    first = search(queries).withColumn("search_ord", F.lit(0))
+    first = search(queries.select("query_id", F.col("query_id").alias("root"), "query")).withColumn("search_ord", F.lit(0))
     every = first
     if depth >= 2:
         more = expand_queries(queries, first, 2 if depth == 2 else 3)
-        asked = more.withColumn("root", F.col("query_id")).withColumn("query_id", F.col("query_id") * 100 + F.col("n") + 1)
-        again = search(asked.select("query_id", "query")).join(asked.select("query_id", "root", "n"), "query_id").withColumn("search_ord", F.col("n") + 1).withColumn("query_id", F.col("root")).drop("root", "n")
+        # follow-up queries are numbered anew; they are searched on their own
+        asked = more.select((F.col("query_id") * 4 + F.col("n")).alias("query_id"), F.col("query_id").alias("root"), "n", "query")
+        again = search(asked.select("query_id", "root", "query")).join(asked.select("query_id", "root", "n"), "query_id").withColumn("search_ord", F.col("n") + 1).withColumn("query_id", F.col("root")).drop("root", "n")
         every = first.unionByName(again.select(*first.columns))
     sources = choose_sources(absorb(every), max_sources)
     found = brief_passages(sources, pages, queries, per_source)

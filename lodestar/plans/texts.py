@@ -251,8 +251,8 @@ def research_brief(spark: SparkSession, d: str) -> DataFrame:
     pages = url.with_url(table(spark, d, "pages"), "url", "u").select(F.col("u.key").alias("url"), text.html_to_text(F.col("html")).alias("content"))
     named = found.groupBy("query_id").agg(F.min_by("title", "pos").alias("query"))
 
-    def search(asked_for: DataFrame) -> DataFrame:
-        return found.join(asked_for.select((F.col("query_id") % 20).alias("topic"), F.col("query_id").alias("asked_id")), F.col("query_id") == F.col("topic")).withColumn("query_id", F.col("asked_id")).drop("asked_id", "topic")
+    def search(wanted: DataFrame) -> DataFrame:
+        return found.withColumnRenamed("query_id", "root").join(wanted.select("query_id", "root"), "root").drop("root")
 
     return research.research(named, search, pages, depth=2, max_sources=4).select("query_id", "pos", "url", "title", "score", "passages")
 

@@ -189,5 +189,11 @@ def test_engine(spark):
     queries = spark.createDataFrame([(1, "words")], "query_id long, query string")
     found = engine.web_search(queries, df)
     assert "1. [One title](https://one.com/a)" in render.search_results(queries, found, engine.now).first().markdown
+    read = spark.createDataFrame([("https://one.com/a", "Words that answer. " * 20)], "url string, content string")
+    many = spark.createDataFrame([(1, "words"), (500, "words")], "query_id long, query string")
+    both = df.unionByName(df.withColumn("query_id", F.lit(500)))
+    brief = engine.research(many, both, read, depth=1, max_sources=2)
+    assert sorted((r.query_id, r.url, len(r.passages)) for r in brief.collect()) == [(1, "https://one.com/a", 1), (500, "https://one.com/a", 1)]
+    assert "> Words that answer." in render.research_brief(many, brief).filter("query_id = 500").collect()[0].markdown
     with pytest.raises(ValueError):
         engine.local_index(pages, "nothing")
