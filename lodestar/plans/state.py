@@ -127,6 +127,11 @@ def engine_health_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return breaker.snapshot(registry.engines(spark), breaker.state(attempts(spark, d)), now_of(events)).select("engine", "ok", "results", "skipped")
 
 
+@query("engine_sweep", f"with {_ATT}, e as (select unnest([{_IDS}]) as engine), l as (select engine, arg_max(case when not ok then kind when results = 0 then 'empty' else 'ok' end, struct_pack(a := ts, b := seq)) as outcome from att group by 1) select e.engine, coalesce(outcome, 'untried') as outcome from e left join l on e.engine = l.engine")
+def engine_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return breaker.sweep(registry.engines(spark), attempts(spark, d)).select("engine", "outcome")
+
+
 @query("breaker_stream", f"with {_FOLD} select * from st")
 def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     """The breaker as a stream over the events' files, all that are there; the last state of each engine."""

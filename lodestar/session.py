@@ -28,3 +28,14 @@ def local(cores: int | str = "*", partitions: int = 8, memory: str = "6g") -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Make the functions that SQL lacks callable by name in SQL: word_stem, nfkc, html_page, parse_document."""
+    from lodestar.functions import fold
+    from lodestar.operators import html, office
+
+    functions = {"word_stem": fold.stem, "nfkc": fold.nfkc, "html_page": html.page, "parse_document": office.document}
+    for name, function in functions.items():
+        spark.udf.register(name, function)
+    return sorted(functions)

@@ -199,7 +199,7 @@ JSON = {
 
 # Selectors of result pages, most specific first.
 PAGES: dict[str, list[dict[str, str]]] = {
-    "duckduckgo": [{"container": ".result", "title": "a.result__a", "link": "a.result__a", "snippet": ".result__snippet"}, {"container": "tr", "title": "a.result-link", "link": "a.result-link", "snippet": ".result-snippet"}],
+    "duckduckgo": [{"container": ".result", "title": "a.result__a", "link": "a.result__a", "snippet": ".result__snippet"}, {"container": "tr", "title": "a.result-link", "link": "a.result-link", "snippet": ".result-snippet", "rows": "following"}],
     "mojeek": [{"container": "ul.results-standard li", "title": "h2 a", "link": "h2 a", "snippet": "p.s", "date": ".date, time"}],
     "bing": [{"container": "li.b_algo", "title": "h2 a", "link": "h2 a", "snippet": ".b_caption p, p", "date": ".news_dt"}],
     "baidu": [{"container": "div.result, div.c-container", "title": "h3 a", "link": "h3 a", "snippet": ".c-abstract, .content-right", "date": ".newTimeFactor_before_abs"}],

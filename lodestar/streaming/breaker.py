@@ -84,6 +84,18 @@ def snapshot(engines: DataFrame, states: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def sweep(engines: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What a round of probes found, per engine: outcome (ok, empty, failed with its kind, or untried), results and latency."""
+    one = policies(attempts).groupBy("engine").agg(F.max_by(F.struct("ok", "results", "latency_ms", "error", "kind"), F.struct("ts", "seq")).alias("a"))
+    outcome = F.when(F.col("a").isNull(), "untried").when(~F.col("a.ok"), F.col("a.kind")).when(F.coalesce("a.results", F.lit(0)) == 0, "empty").otherwise("ok")
+    return engines.select("engine").join(one, "engine", "left").select("engine", outcome.alias("outcome"), "a.results", "a.latency_ms", "a.error")
+
+
+def usable(swept: DataFrame) -> DataFrame:
+    """One row: how many engines can be used, of how many tried."""
+    return swept.agg(F.count_if(F.col("outcome") == "ok").alias("usable"), F.count_if(F.col("outcome") != "untried").alias("tried"))
+
+
 def benched_engines(states: DataFrame, now: Column) -> DataFrame:
     return states.filter(F.col("benched_until_us") > F.unix_micros(now)).select("engine")
 

@@ -197,3 +197,19 @@ def test_engine(spark):
     assert "> Words that answer." in render.research_brief(many, brief).filter("query_id = 500").collect()[0].markdown
     with pytest.raises(ValueError):
         engine.local_index(pages, "nothing")
+
+
+def test_snippets_in_following_rows():
+    rows = "".join(f"<tr><td><a class='result-link' href='https://r{i}.example.com/'>Result number {i}</a></td></tr><tr><td class='result-snippet'>Snippet {i}</td></tr><tr><td>&nbsp;</td></tr>" for i in range(3))
+    from lodestar.sources.payloads import PAGES
+
+    got = html.extracted_results(f"<table>{rows}</table>", "https://lite.example.org/", PAGES["duckduckgo"])
+    assert [(r["title"], r["snippet"]) for r in got] == [(f"Result number {i}", f"Snippet {i}") for i in range(3)]
+
+
+def test_registered_functions(spark):
+    from lodestar import session
+
+    assert session.register(spark) == ["html_page", "nfkc", "parse_document", "word_stem"]
+    row = spark.sql("select word_stem('running') as s, html_page('<title>T</title><p>x', 'https://a.b/').title as t").first()
+    assert (row.s, row.t) == ("run", "T")
