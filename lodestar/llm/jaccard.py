@@ -213,7 +213,8 @@ def shared_blocks(documents: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): one document's text for each of ``nodes``."""
-    wanted = documents.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "th")).alias("at")).select("node", "at.did", "at.th")
+    # one row per node comes first: copies are combined before anything is shuffled by node
+    wanted = documents.groupBy("node").agg(F.min(F.struct("did", "th")).alias("at")).join(nodes, "node", "left_semi").select("node", "at.did", "at.th")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"), "text")
     return rows.join(wanted, ["did", "th"]).dropDuplicates(["node"]).select("node", "text")
 
@@ -379,8 +380,11 @@ def classes_of(docs: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     found = written(classes_of(docs.select("doc_id", "text")), "jaccard-classes")
-    least = found.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = found.filter("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # copies are combined per node first; each side of a join is a written table, so that Spark can split hot keys
+    nodes = written(found.filter("n > 0").groupBy("node", "component").agg(F.min("doc_id").alias("low")), "jaccard-nodes")
+    least = written(nodes.groupBy("component").agg(F.min("low").alias("component_id")), "jaccard-least")
+    named = written(nodes.select("node", "component").join(least, "component").select("node", "component_id"), "jaccard-named")
+    joined = found.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
