@@ -27,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,12 +37,14 @@ from .common import Remembered, map_arrow, tune, written
 
 #: Ids of one file, at least one document; small enough for a cache of the CPU.
 FILE_IDS = 1 << 18
-#: Entries of one generation of the worker's cache of words.
-CACHE = 350_000
-#: Texts with these are encoded in one piece, as split() takes them for white space and the tokenizer does not; so are texts with special tokens.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Fixed value: the pre-tokenizer's pattern.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Entries of one generation of the worker's cache of pieces.
+CACHE = 300_000
+#: Texts with these are encoded by the library in one go: special tokens, letters beyond the Latin blocks, and characters on which
+#: Python and the tokenizer differ about white space or lower case.
+ODD = re.compile("[\x1c-\x1f\u0130\u0180-\u200f\u2028-\u202f\u205f-\u209f\u20c0-\U0010ffff]|<\\|")
+#: Letters and digits among the characters of all other texts, in lower case; the pattern is the pre-tokenizer's over them.
+LETTERS, DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 _HEAD = struct.Struct("<4sBBQQ")
 
 
@@ -170,12 +171,11 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
 
 
 class WordEncoder:
-    """The library's encoder behind a cache from a word (text without white space) to its packed ids.
+    """The library's encoder behind a cache from a piece (what the tokenizer's pattern cuts out) to its packed ids.
 
-    The tokenizer's pattern drops white space and never spans it, and no normalisation crosses it,
-    so the ids of a text are those of its words in turn. A word of plain Latin letters, on which the
-    normalisation is lower-casing alone, is cut into the pattern's pieces, and each goes to the
-    library's model; any other word goes to the library whole."""
+    White space is dropped and no piece spans it, so the ids of a text are those of its pieces in turn. On Latin letters the
+    normalisation is lower-casing alone; the text is cut by the same pattern and each new piece goes to the
+    library's model. Any other text goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,7 +190,7 @@ class WordEncoder:
         letters = {b: c for c, b in byte_letters().items()}
         self.letters = [letters[b] for b in range(256)]
         self.model = self.tok.model
-        self.words = Remembered(self._word, CACHE)
+        self.pieces = Remembered(self._piece, CACHE)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -200,20 +200,24 @@ class WordEncoder:
         spelt = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
         return self.pack([t.id for t in self.model.tokenize(spelt)])
 
-    def _word(self, word: str) -> bytes:
-        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
-            return self.pack(self.tok.encode(word, add_special_tokens=False).ids)
-        low = word.lower()
-        if low.isalpha():
-            return self._piece(word) if low == word else self.words[low]
-        pieces = PIECE.findall(low)
-        # a piece is a word of its own, and is remembered as such
-        return self._piece(word) if len(pieces) == 1 and low == word else b"".join([self.words[x] for x in pieces])
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or ODD_SPACE.search(text):
+    def encode(self, text: str, plain: bool = False) -> bytes:
+        """The packed ids; ``plain`` says that the text is known to hold nothing odd."""
+        if not plain and ODD.search(text):
             return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+
+
+def all_plain(column: pa.Array) -> bool:
+    """Whether no text of a batch can hold anything odd, seen from its bytes at once: no control or special characters, nothing from U+0180 on, no dotted I."""
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width, len(column) + 1, column.offset * np.dtype(width).itemsize) if len(column) else [0, 0]
+    data = column.buffers()[2]
+    b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    if len(b) == 0:
+        return True
+    if ((b - np.uint8(0x1C)) < 4).any() or (b >= 0xC6).any():
+        return False
+    return not (((b[:-1] == 0xC4) & (b[1:] == 0xB0)).any() or ((b[:-1] == 0x3C) & (b[1:] == 0x7C)).any())
 
 
 @lru_cache(maxsize=4)
@@ -244,9 +248,10 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([part, first, len(ids), data], schema, strict=True)], schema=schema)
 
         for batch in it:
+            plain = all_plain(batch.column(1))
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held_docs.append(doc)
-                held.append(enc.encode(text or "") + end)
+                held.append(enc.encode(text or "", plain) + end)
                 size += len(held[-1]) // enc.dtype().itemsize
                 if size >= FILE_IDS:
                     yield flush()
@@ -254,7 +259,6 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
                     held_docs, held, size = [], [], 0
         if held:
             yield flush()
-        enc.words.forget()
 
     return written(map_arrow(ordered, run, "part int, first long, n_ids long, data binary"), "wavelet")
 

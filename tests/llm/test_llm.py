@@ -428,6 +428,16 @@ def test_words_equal_the_library(libraries):
     check()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.none()), max_size=5), st.integers(0, 3))
+def test_plain_batches(texts, cut):
+    import pyarrow as pa
+
+    batch = pa.array(texts, pa.string())[cut:]
+    if wavelet.all_plain(batch):
+        assert not any(wavelet.ODD.search(t) for t in batch.to_pylist() if t)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 3000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype(np.uint16)
