@@ -47,7 +47,7 @@ PERCENT = 90
 CLASS_RATIO = 1.5
 #: Members of one chunk of a large block, and links of one hub that one task verifies.
 CHUNK = 4096
-HUB = 1000
+HUB = 200
 #: Bits of a token bitmap, and members of a leaf of a signature tree.
 BITS = 2048
 LEAF = 8
