@@ -398,3 +398,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     needed = ["doc_id", "text"]
     keyed = packed(docs, needed).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64("text"))
     return unpacked(keyed.join(chosen, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]), docs.columns, needed)
+
+
+#: The same by a plain self-join of shingles and a transitive closure; for small tables.
+ORACLE_SQL = r"""
+with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select r, unnest(list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end)) as g from w),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as k from s a join s b on a.g = b.g and a.r < b.r group by 1, 2),
+l as (select a, b from p join n x on p.a = x.r join n y on p.b = y.r where 100 * k >= 90 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+reach as (select r as a, r as b from w union select reach.a, e.b from reach join e on reach.b = e.a),
+c as (select reach.a as r, min(w.doc_id) as component_id from reach join w on reach.b = w.r group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from w join c on w.r = c.r left join n on w.r = n.r
+"""

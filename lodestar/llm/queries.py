@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL}
+    return {"op1_quality": quality.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL, "op6_decontamination": decontam.ORACLE_SQL}
