@@ -34,6 +34,11 @@ CACHE = 250_000
 #: Fixed values of the byte-level pre-tokenizer: its pattern, and white space as it knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Characters on which Python's patterns and the tokenizer's may differ, or that are seldom: texts with them are cut in two steps.
+ODD = re.compile("[\x1c-\x1f\u0180-\u200f\u2028-\u202f\u205f-\u209f\u20c0-\U0010ffff]")
+#: Letters and digits among all other characters, and the tokenizer's pattern over them.
+LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -121,8 +126,11 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.cut and self.cut.search(text):
-            return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else b"".join(map(self.pieces.__getitem__, PIECES.findall(x))) for x in self.cut.split(text))
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+            return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.cut.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, (PIECES if ODD.search(text) else WORDS).findall(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
