@@ -165,6 +165,28 @@ def test_lm_scores(spark, docs, rows):
     assert found[300].n_tokens == 0 and found[300].difference is None
 
 
+@pytest.mark.parametrize("bucket", [4_000_000, 1_000])
+def test_lm_scores_tell_all_words_and_pairs_apart(spark, bucket, monkeypatch):
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", bucket, raising=False)
+    words = [f"w{i}" for i in range(40_000)]
+    texts = [words[i : i + 500] for i in range(0, 40_000, 500)] + [words[i : i + 900 : 3] for i in range(0, 39_000, 600)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r for r in lmscore.lm_scores(table, spark.range(0, len(texts), 3).withColumnRenamed("id", "doc_id")).collect()}
+
+    def bits(chosen, doc):
+        pair = Counter(p for t in chosen for p in zip([None, *t], t))  # noqa: B905
+        word, before = Counter(w for t in chosen for w in t), Counter(w for t in chosen for w in [None, *t[:-1]])
+        out = []
+        for a, b in zip([None, *doc], doc):  # noqa: B905
+            u = (word[b] + 0.5) / (word.total() + 0.5 * 40_001)
+            out.append(-np.log2(0.7 * pair[a, b] / before[a] + 0.3 * u if before[a] else u))
+        return np.mean(out)
+
+    for doc in (0, 1, 79, 80, 144):
+        a, b = bits(texts[::3], texts[doc]), bits(texts, texts[doc])
+        assert (found[doc].target_bits, found[doc].background_bits, found[doc].difference) == pytest.approx((a, b, a - b), rel=1e-9)
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 
