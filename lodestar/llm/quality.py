@@ -5,7 +5,9 @@ signals are summarised in a *mergeable quantile sketch*: a histogram of 1001 equ
 as one row per non-empty bin, so merging is addition and Spark pre-aggregates it before the
 shuffle. A group's threshold is its upper quartile plus the larger of ``FENCE`` interquartile
 ranges and a floor; a group of fewer than ``MIN_GROUP`` documents takes its language's merged
-sketch, or else that of all documents. The thresholds are joined back and documents beyond any of them go.
+sketch, or else that of all documents. A group of which much is junk would set itself a threshold that passes
+junk, so one above the least of those merged sketches is lowered to that, or to the group's lower quartile plus
+the floor where this is higher. The thresholds are joined back and documents beyond any of them go.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source
 counts as an empty string; repeated rows are judged each on their own; an empty table gives an empty result.
@@ -110,7 +112,7 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """The threshold of each signal for each value of ``keys``, from merged sketches; ``n`` counts its documents.
+    """The threshold of each signal for each value of ``keys``, from merged sketches; other groups don't lower it below ``least``, and ``n`` counts its documents.
 
     The bins of one group are gathered in an array of at most 1001 entries and scanned there."""
     merged = sketches.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
@@ -120,17 +122,23 @@ def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     )
     floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
     high, low = quantile(3), quantile(1)
-    return grouped.select(*keys, "signal", "n", (high + F.greatest((high - low) * FENCE, floor[F.col("signal")])).alias("t")).groupBy(*keys).pivot("signal", list(FLOORS)).agg(F.first("t").alias("t"), F.first("n").alias("n"))
+    return grouped.select(*keys, "signal", "n", (high + F.greatest((high - low) * FENCE, floor[F.col("signal")])).alias("t"), (low + floor[F.col("signal")]).alias("least")).groupBy(*keys).pivot("signal", list(FLOORS)).agg(F.first("t").alias("t"), F.first("least").alias("least"), F.first("n").alias("n"))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """One row per (lang, source) with its four thresholds."""
     sketches = written(sketch(measured), "quality-sketch")
     first = next(iter(FLOORS))
-    cut = lambda keys, p: _fences(sketches, keys).select(*keys, *[F.col(f"{s}_t").alias(f"{p}{s}") for s in FLOORS], F.col(f"{first}_n").alias(f"{p}n"))
+    cut = lambda keys, p: _fences(sketches, keys).select(*keys, *[F.col(f"{s}_{x}").alias(f"{p}{x}_{s}") for s in FLOORS for x in ("t", "least")], F.col(f"{first}_n").alias(f"{p}n"))
     own, lang = cut(["lang", "source"], "o_"), cut(["lang"], "l_")
     every = _fences(sketches.withColumn("one", F.lit(1)), ["one"]).first()  # a single row
-    chosen = lambda s: F.when(F.col("o_n") >= MIN_GROUP, F.col(f"o_{s}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{s}")).otherwise(F.lit(every[f"{s}_t"] if every else 1000))
+
+    def chosen(s: str) -> Column:
+        top = F.lit(every[f"{s}_t"] if every else 1000)
+        bounded = lambda p, by: F.least(F.col(f"{p}t_{s}"), F.greatest(F.col(f"{p}least_{s}"), by))
+        of_lang = F.when(F.col("l_n") >= MIN_GROUP, bounded("l_", top)).otherwise(top)
+        return F.when(F.col("o_n") >= MIN_GROUP, bounded("o_", F.least(of_lang, top))).otherwise(of_lang)
+
     return own.join(lang, "lang").select("lang", "source", *[chosen(s).cast("int").alias(f"t_{s}") for s in FLOORS])
 
 

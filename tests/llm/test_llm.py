@@ -86,6 +86,18 @@ def test_quality_rejects_symbols_and_keeps_the_rest(spark):
     assert kept == {r[0] for r in clean} - failed
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45, 0.6])
+def test_quality_rejects_junk_of_a_junk_heavy_source(spark, share):
+    own = random.Random(7)
+    text = lambda: " ".join(own.choices(VOCAB, k=80))
+    junk = lambda: " ".join(w + "%" * own.randint(1, 3) for w in text().split())
+    heavy = lambda: " ".join(w + "%" for w in text().split())  # noqa: E731  a source whose texts are all alike keeps them
+    n = int(100 * share)
+    rows = [(i, text(), "en", "clean", 1) for i in range(400)] + [(1000 + i, junk() if i < n else text(), "en", "hot", 1) for i in range(100)] + [(2000 + i, heavy(), "en", "code", 1) for i in range(40)]
+    kept = {r.doc_id for r in quality.quality_filter(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == {r[0] for r in rows if not base_of(r[1])[5]} - set(range(1000, 1000 + n))
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 
