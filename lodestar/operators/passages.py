@@ -70,7 +70,9 @@ def select_passages(docs: DataFrame, most: int = 4, most_chars: int = 900, total
     ranked = found.groupBy("doc_id", "query_id").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
     budget = F.lit(total_chars) if isinstance(total_chars, int) else total_chars
     one = "struct<text:string,score:double,offset:int,stop:int>"
-    joined = docs.select("doc_id", "query_id", "content", budget.cast("int").alias("budget")).join(ranked, ["doc_id", "query_id"], "left")
+    body = F.trim(F.coalesce("content", F.lit("")))
+    lead = F.when(body != "", F.array(F.struct(F.lit(0).alias("offset"), text.truncate(body, most_chars).alias("text"), F.lit(0.0).alias("score")))).otherwise(F.array().cast("array<struct<offset:int,text:string,score:double>>"))
+    joined = docs.select("doc_id", "query_id", lead.alias("lead"), budget.cast("int").alias("budget")).join(ranked, ["doc_id", "query_id"], "left")
     start = F.struct(F.array().cast(f"array<{one}>").alias("chosen"), F.lit(0).alias("total"))
 
     def step(a: Column, x: Column) -> Column:
@@ -84,8 +86,6 @@ def select_passages(docs: DataFrame, most: int = 4, most_chars: int = 900, total
     chosen = F.aggregate(F.coalesce("ranked", F.array().cast("array<struct<s:double,offset:int,text:string,lead:boolean>>")), start, step)
     folded = joined.withColumn("chosen", chosen["chosen"])
     ordered = F.array_sort(F.transform("chosen", lambda x: F.struct(x.offset.alias("offset"), x["text"].alias("text"), x.score.alias("score"))))
-    body = F.trim(F.coalesce("content", F.lit("")))
-    lead = F.when(body != "", F.array(F.struct(F.lit(0).alias("offset"), text.truncate(body, most_chars).alias("text"), F.lit(0.0).alias("score")))).otherwise(F.array().cast("array<struct<offset:int,text:string,score:double>>"))
-    return folded.select("doc_id", "query_id", F.when(F.size("chosen") > 0, ordered).otherwise(lead).alias("passages"))
+    return folded.select("doc_id", "query_id", F.when(F.size("chosen") > 0, ordered).otherwise(F.col("lead")).alias("passages"))
 
 

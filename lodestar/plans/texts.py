@@ -191,15 +191,22 @@ def passage_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 4).alias("best"))
 
 
+def _holding(spark: SparkSession, d: str) -> DataFrame:
+    """Every query with every document that holds one of its terms, as the scores count them: anywhere in the lower-cased text."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lower("text").alias("low"))
+    queries = asked(spark, d).select("query_id", F.split("query", " ").alias("terms"))
+    return docs.join(F.broadcast(queries), F.exists("terms", lambda t: (t != "") & F.contains("low", t))).drop("low")
+
+
 @query("passages_selected")
 def passages_selected(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+    rows = _holding(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
     return passages.select_passages(rows.select("doc_id", "query_id", "content", "terms"))
 
 
 @query("snippets")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).select("doc_id", text.make_snippet(F.col("content"), F.col("terms")).alias("snippet"))
+    return _holding(spark, d).select("doc_id", "query_id", text.make_snippet(F.col("content"), F.col("terms")).alias("snippet"))
 
 
 def topics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

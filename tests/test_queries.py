@@ -39,6 +39,17 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["passages_selected", "snippets"])
+def test_every_query_meets_the_documents_with_its_terms(spark, name):
+    from lodestar.plans import texts
+
+    docs = [(r.doc_id, (r.text or "").lower()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    asked = [(r.query_id, r.query.split()) for r in texts.asked(spark, SF).collect()]
+    pairs = sorted((i, k) for i, text in docs for k, terms in asked if any(t in text for t in terms))
+    found = catalog.queries()[name](spark, SF).select("doc_id", "query_id").collect()
+    assert len({k for _, k in pairs}) > 4 and sorted(map(tuple, found)) == pairs
+
+
 def test_entry(spark):
     import __spark_entry__
 
