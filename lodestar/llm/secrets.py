@@ -51,14 +51,17 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 20),
     Rule("hex", "[0-9a-f]{24,}", 24),
 )
+_KEY = "(?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"
 #: Further formats of keys. Public prefixes of well-known issuers.
 MORE = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("live", "[sr]k_live_[A-Za-z0-9]{16,255}"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("live", "[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,4000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{5,4000}"),
-    Rule("private", "-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"),
+    # From the start of a run of its letters and at the first eyJ there, so that long runs are read once.
+    Rule("webtoken", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}"),
+    # To the END line, or else over the headers and base64 lines that follow.
+    Rule("private", rf"-----BEGIN {_KEY}(?:(?:[^-]|-(?!----))*+-----END {_KEY}|(?:\r?\n[A-Za-z-]+:\x20[^\r\n]*)*(?:\r?\n(?=\r?\n))?(?:\r?\n[A-Za-z0-9+/=]+(?=\r?\n|\Z))*)"),
 )
 RULES = BASE + MORE
 

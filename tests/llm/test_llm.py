@@ -224,6 +224,16 @@ def test_secret_queries():
     assert secrets.query_of("ab?c") is True and secrets.query_of("(?:abcd)+x*") == secrets.trigrams("abcd")
 
 
+def test_secrets_are_found_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "x7/+" * 12] * 30)
+    pem = lambda end: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nAb12==\n{end}"
+    whole = ["ghp_" + "a1" * 300, "xoxb-" + "1a" * 300, "sk_live_" + "1a" * 300, "eyJ" + "a" * 9000 + ".eyJ" + "b" * 9000 + ".c" + "d" * 9000, pem("-----END RSA PRIVATE KEY-----"), pem("").rstrip()]
+    texts = [f"before: {w}\nthe text after" for w in whole]
+    out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [out[i] for i in range(len(whole))] == ["before: [secret]\nthe text after"] * len(whole)
+    assert secrets.Scanner(secrets.RULES).scan([b"eyJ" * 400_000 + b" .eyJ"]) == [[]]  # in linear time
+
+
 def test_secrets_and_redaction(docs, rows):
     found = {r.doc_id: r for r in secrets.secrets(docs).collect()}
     r = found[306]
