@@ -1,11 +1,12 @@
 """N-gram Jaccard join by signature trees (operator 5).
 
 Documents are sets of word shingles, hashed to 64 bits. Two link when their Jaccard similarity
-is at least ``PERCENT`` per cent, decided in whole numbers on the full sets; classes are the
-connected components of the links.
+is at least ``percent`` per cent, decided in whole numbers on the full sets; classes are the
+connected components of the links. Words per shingle and ``percent`` are parameters.
 
-1. Documents of equal sets become one *node*.
-2. Blocking without loss: a linked pair of sizes up to N differs in at most d = 2N/19 shingles (at 90 %).
+1. Documents of equal sets become one *node*. Sets are told apart by 128 bits of hash: where two sets
+   have the same first 64 bits, which name the node, both get a name made from all 128.
+2. Blocking without loss: a linked pair of sizes up to N differs in at most d shingles (2N/19 at 90 %).
    Shingles are dealt by hash to more than d parts, so some part holds the same shingles
    in both; its hash is a block key. Sizes fall into classes, each with its number of parts; a
    document also enters the next class if a partner can be there. A document with more empty parts than
@@ -13,18 +14,20 @@ connected components of the links.
    once, so a passage that many documents share doesn't bring them together.
 3. In each block all nodes are linked to its least one, as candidates; these stars are verified, and give first classes.
    Within a class nothing more needs comparing.
-4. Blocks that still hold several classes are searched by *signature trees*: nodes of the tree hold the
-   OR of their members' token bitmaps, their range of sizes, and their class if it is one; two trees
+4. Blocks that still hold several classes are put together where they share a node; each such *group* is searched by *signature
+   trees*: nodes of the tree hold the OR of their members' token bitmaps, their range of sizes, and their class if it is one; two trees
    are traversed at once, and a pair of tree nodes is pruned when it has one class, when the ranges of sizes are too far apart or when the
-   greatest overlap that the bitmaps allow is too small. Pairs of leaves that remain are verified on the texts.
-   A large block is split: its largest class is dealt over chunks, and the others go to every chunk.
+   greatest overlap that the bitmaps allow is too small. Pairs of leaves that remain are verified on the full sets, those of the
+   greatest overlap first, and only while their classes are apart: what comes out is a forest over the classes, not all pairs.
+   A node stands in one group, so its text is sent once, not for each of its blocks. A large group is split into
+   cells: its largest class and the others are cut into chunks, and pairs of chunks meet, each pair in one cell.
 5. The verified links of both steps give the classes.
 
-Equality of sets and of blocks is that of 64-bit hashes, links are counted on 64-bit shingle hashes.
-Nothing is capped, and texts are whole.
+Block keys and links are those of 64-bit shingle hashes. Nothing is capped, and texts are whole.
 
 Defined cases: a document without text or words is a class of its own; a null doc_id takes part, and is
-never the least; a class of null doc_ids alone has a null component_id; repeated rows are copies; an
+never the least; a class of null doc_ids alone has a null component_id; repeated rows are copies; other columns, whatever their names,
+are ignored or, by ``one_of_each``, kept; ties for the least doc_id go to the least hash of the text; an
 empty table gives an empty result.
 """
 
@@ -45,11 +48,14 @@ SHINGLE = 3
 PERCENT = 90
 #: Ratio of the sizes of a size class.
 CLASS_RATIO = 1.5
-#: Members of one chunk of a large block, and links of one hub that one task verifies.
-CHUNK = 4096
+#: Members of one chunk of a large group, at least and at most, and the bytes of their sets.
+CHUNK = (512, 4096)
+CHUNK_BYTES = 16 << 20
+#: Links of one hub that one task verifies.
 HUB = 200
-#: Bits of a token bitmap, and members of a leaf of a signature tree.
-BITS = 2048
+#: Bits of a token bitmap for each shingle of a set of middle size, and of all bitmaps of a cell; members of a leaf of a signature tree.
+BITS = 16
+CELL_BITS = 1 << 28
 LEAF = 8
 CACHE = 400_000
 
@@ -114,7 +120,17 @@ class Classes:
         top = self.bounds[1:] - 1
         # union u = (sizes + difference) / 2, difference <= u (100 - p) / 100
         differ = 2 * top * (100 - percent) // (100 + percent)
-        self.spare = 1 + differ // 100
+        # so many parts may be empty: some deviations more than a set of the class's least size has, while a part has some shingles
+        low, spare = self.bounds[:-1], np.ones(len(top), np.int64)
+        while True:
+            parts = differ + 1 + spare
+            share = np.exp(-low / parts)
+            usual = parts * share + 3.3 * np.sqrt(parts * share * (1 - (1 + low / parts) * share))
+            short = (usual > spare + 0.5) & (3 * (parts + 1) <= 2 * low)
+            if not short.any():
+                break
+            spare = np.where(short, np.maximum(spare + 1, np.minimum(usual.astype(np.int64), 2 * low // 3 - differ - 1)), spare)
+        self.spare = spare
         self.parts = differ + 1 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -158,16 +174,16 @@ def block_keys(sets: list[np.ndarray], classes: Classes) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, did, th, keys) per document: size and hash of its set, what finds its row again, and its block keys.
+def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, node, proof, did, th, keys) per document: size and two hashes of its set, what finds its row again, and its block keys.
 
     A node's keys stand once for each task that saw it, so copies add few."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, seen = WordHashes(), Classes(), set()
+        hashes, classes, seen = WordHashes(), Classes(percent), set()
         for batch in it:
-            sets = [shingle_set(t, hashes) for t in as_bytes(batch.column(3))]
+            sets = [shingle_set(t, hashes, size) for t in as_bytes(batch.column(3))]
             nodes = [node_of(s) for s in sets]
             fresh = []
             for i, node in enumerate(nodes):
@@ -179,14 +195,28 @@ def shingled(docs: DataFrame) -> DataFrame:
             keys: list[np.ndarray | None] = [None] * len(sets)
             for i, k in zip(fresh, block_keys([sets[i] for i in fresh], classes), strict=True):
                 keys[i] = k.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "did", "th", "keys"])
+            names, proofs = (pa.array(x, pa.int64()) for x in zip(*nodes, strict=True)) if nodes else (pa.array([], pa.int64()),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), names, proofs, batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "proof", "did", "th", "keys"])
 
-    return map_arrow(rows, run, "doc_id long, n long, node long, did long, th long, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, n long, node long, proof long, did long, th long, keys array<long>")
 
 
-def node_of(s: np.ndarray) -> int:
-    """The hash of a set, as a signed long."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
+def node_of(s: np.ndarray) -> tuple[int, int]:
+    """Both halves of the hash of a set, as signed longs."""
+    if not len(s):
+        return 0, 0
+    both = xxhash.xxh3_128_intdigest(s.tobytes())
+    low, high = np.array([both & 0xFFFFFFFFFFFFFFFF, both >> 64], np.uint64).view(np.int64).tolist()
+    return low, high
+
+
+def told_apart(documents: DataFrame) -> DataFrame:
+    """``documents`` whose nodes are one set each: sets that share the first half of their hash are named by both halves."""
+    shared = documents.groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).filter("low != high").select("node", F.lit(True).alias("again"))
+    if shared.isEmpty():
+        return documents
+    named = F.when(F.col("again"), F.xxhash64("node", "proof")).otherwise(F.col("node"))
+    return written(documents.join(shared, "node", "left").withColumn("node", named).drop("again"), "jaccard-apart")
 
 
 def shared_blocks(documents: DataFrame) -> DataFrame:
@@ -219,7 +249,7 @@ def texts_of(docs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFra
     return rows.join(wanted, ["did", "th"]).dropDuplicates(["node"]).select("node", "text")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (hub, node) whose sets link. A hub's set is made once for each task; hubs of many pairs are spread over tasks."""
     spread = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts"))
     members = pairs.join(spread, "hub").select("hub", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), "node")
@@ -233,8 +263,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out = []
             for h, member, node, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), as_bytes(batch.column(4)), strict=True):
                 if not member:
-                    hub, base = h, shingle_set(text, hashes)
-                elif hub == h and links(base, shingle_set(text, hashes)):
+                    hub, base = h, shingle_set(text, hashes, size)
+                elif hub == h and links(base, shingle_set(text, hashes, size), percent):
                     out.append((h, node))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["hub", "node"])
@@ -242,12 +272,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, "hub long, node long")
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """The token bitmap of a set, as 64-bit words."""
-    out = np.zeros(BITS // 64, np.uint64)
-    at = (s >> _U(7)) % _U(BITS)
-    np.bitwise_or.at(out, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
-    return out
+def bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """The token bitmaps of sets, a row of ``words`` 64-bit words each."""
+    out = np.zeros(len(sets) * words, np.uint64)
+    at = (np.concatenate(sets) >> _U(7)) % _U(words * 64)
+    row = np.repeat(np.arange(len(sets), dtype=np.int64) * words, [len(s) for s in sets])
+    np.bitwise_or.at(out, row + (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return out.reshape(len(sets), words)
 
 
 class SignatureTree:
@@ -255,131 +286,194 @@ class SignatureTree:
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, classes: np.ndarray):
         order = np.lexsort((sizes, classes))
-        self.order, self.bits, self.sizes, self.classes = order, bits[order], sizes[order], classes[order]
+        self.order, bits, sizes, classes = order, bits[order], sizes[order], classes[order]
         starts = np.arange(0, len(order), LEAF)
         # tokens beyond the first of their bit: the overlap of two sets is at most that of their bits and these
-        extra = self.sizes - np.bitwise_count(self.bits).sum(axis=1)
-        level = (np.bitwise_or.reduceat(self.bits, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts), np.maximum.reduceat(extra, starts), np.minimum.reduceat(self.classes, starts), np.maximum.reduceat(self.classes, starts))
-        self.extra = extra
+        extra = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        self.members = (bits, sizes, sizes, extra, classes, classes)
+        level = (np.bitwise_or.reduceat(bits, starts), np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts), np.maximum.reduceat(extra, starts), np.minimum.reduceat(classes, starts), np.maximum.reduceat(classes, starts))
         self.levels = [level]
         while len(level[1]) > 1:
             at = np.arange(0, len(level[1]), 2)
             level = tuple(f.reduceat(x, at) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True))
             self.levels.append(level)
 
-    def pairs(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of members, by their places in the given order, that no bound excludes."""
-        a = b = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[depth]
-            keep = np.concatenate([possible(level, x, y, percent) for x, y in _slices(a, b)]) if len(a) else np.zeros(0, bool)
-            a, b = a[keep], b[keep]
-            if depth:
-                width = len(self.levels[depth - 1][1])
-                a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b, 2 * b + 1])
-                inside = (a <= b) & (b < width)
-                a, b = a[inside], b[inside]
-        member = (self.bits, self.sizes, self.sizes, self.extra, self.classes, self.classes)
-        left, right = [], []
-        steps = np.arange(LEAF)
-        for x, y in _slices(a, b, 1 << 11):
-            i = np.repeat(x * LEAF, LEAF * LEAF) + np.tile(np.repeat(steps, LEAF), len(x))
-            j = np.repeat(y * LEAF, LEAF * LEAF) + np.tile(steps, LEAF * len(y))
-            inside = (i < j) & (j < len(self.order))
-            i, j = i[inside], j[inside]
-            keep = possible(member, i, j, percent)
-            left.append(self.order[i[keep]])
-            right.append(self.order[j[keep]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([*left, none]), np.concatenate([*right, none])
-
-
-def _slices(a: np.ndarray, b: np.ndarray, size: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def dual(left: SignatureTree, right: SignatureTree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a member of each tree, by their places in the given order, that no bound excludes, and their greatest overlaps.
+
+    Both trees are descended at once. A tree with itself gives each pair once."""
+    same = left is right
+    a = b = np.zeros(1, np.int64)
+    for depth in range(max(len(left.levels), len(right.levels)) - 1, -1, -1):
+        x, y = (t.levels[min(depth, len(t.levels) - 1)] for t in (left, right))
+        keep = np.concatenate([possible(x, y, i, j, percent)[0] for i, j in _slices(a, b, x)]) if len(a) else np.zeros(0, bool)
+        a, b = a[keep], b[keep]
+        for mine in (True, False):
+            tree = left if mine else right
+            if 0 < depth < len(tree.levels):
+                width = len(tree.levels[depth - 1][1])
+                grown = 2 * (a if mine else b)
+                other = np.tile(b if mine else a, 2)
+                grown = np.concatenate([grown, grown + 1])
+                inside = grown < width
+                a, b = (grown[inside], other[inside]) if mine else (other[inside], grown[inside])
+        if same:
+            a, b = a[a <= b], b[a <= b]
+    found: list[tuple[np.ndarray, ...]] = []
+    steps = np.arange(LEAF)
+    for x, y in _slices(a, b, left.members, LEAF * LEAF):
+        i = np.repeat(x * LEAF, LEAF * LEAF) + np.tile(np.repeat(steps, LEAF), len(x))
+        j = np.repeat(y * LEAF, LEAF * LEAF) + np.tile(steps, LEAF * len(y))
+        inside = (i < len(left.order)) & (j < len(right.order)) & ((not same) | (i < j))
+        i, j = i[inside], j[inside]
+        keep, common = possible(left.members, right.members, i, j, percent)
+        found.append((left.order[i[keep]], right.order[j[keep]], common[keep]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([*(f[k] for f in found), none]) for k in range(3))
+
+
+def _slices(a: np.ndarray, b: np.ndarray, level: tuple, times: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of which the bitmaps take some 16 MB."""
+    size = max(1, (2 << 20) // (level[0].shape[1] * times))
     for i in range(0, len(a), size):
         yield a[i : i + size], b[i : i + size]
 
 
-def possible(level: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair of members of different classes under the two tree nodes may link."""
-    bits, low, high, extra, least, most = level
-    one_class = (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
-    near = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-    common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64) + np.minimum(extra[a], extra[b])
-    common = np.minimum(common, np.minimum(high[a], high[b]))
-    return ~one_class & near & (100 * common >= percent * (low[a] + low[b] - common))
+def possible(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a pair of members of different classes under the two tree nodes may link, and their greatest overlap."""
+    (bits, low, high, extra, least, most), (bits2, low2, high2, extra2, least2, most2) = left, right
+    one_class = (least[a] == most[a]) & (least2[b] == most2[b]) & (least[a] == least2[b])
+    near = (100 * high[a] >= percent * low2[b]) & (100 * high2[b] >= percent * low[a])
+    common = np.bitwise_count(bits[a] & bits2[b]).sum(axis=1).astype(np.int64) + np.minimum(extra[a], extra2[b])
+    common = np.minimum(common, np.minimum(high[a], high2[b]))
+    return ~one_class & near & (100 * common >= percent * (low[a] + low2[b] - common)), common
 
 
-def tree_pairs(blocks: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (hub, node) between classes, from the signature trees of blocks that hold several classes."""
-    members = blocks.select("key", "node").unionByName(blocks.select("key", F.col("hub").alias("node"))).distinct()
-    classed = members.join(first.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    per_class = classed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_class.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("largest")).filter("classes > 1").select("key", "n", F.col("largest.component").alias("largest"))
-    rows = written(classed.join(mixed, "key"), "jaccard-mixed")
+class Cell:
+    """Members of one cell of a group: names, classes, sides and sets."""
 
-    def bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in it:
-            sets = [shingle_set(t, hashes) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "bits"])
+    def __init__(self, node: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int):
+        self.node, self.component, self.side, self.sets, self.percent = node, component, side, sets, percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.words = max(1, min(int(np.median(self.sizes)) * BITS, CELL_BITS // len(sets)) >> 6)
+
+    def tree(self, at: np.ndarray) -> SignatureTree:
+        return SignatureTree(bitmaps([self.sets[i] for i in at], self.words), self.sizes[at], self.component[at])
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of members that may link, those of different sides if there are two, and their greatest overlaps."""
+        sides = [np.flatnonzero(self.side == k) for k in (0, 1)]
+        if len(sides[0]) and len(sides[1]):
+            a, b, common = dual(self.tree(sides[0]), self.tree(sides[1]), self.percent)
+            return sides[0][a], sides[1][b], common
+        tree = self.tree(np.arange(len(self.node)))
+        return dual(tree, tree, self.percent)
 
-    signed = map_arrow(texts.join(rows.select("node").distinct(), "node", "left_semi"), bits, "node long, size long, bits binary")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.array(F.pmod(F.hash("node"), chunks))
-    dealt = rows.withColumn("chunk", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(F.sequence(F.lit(0), chunks - 1))))
-    full = dealt.join(signed, "node").select("key", "chunk", "node", "component", "size", "bits").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    def forest(self) -> tuple[list[int], list[int]]:
+        """Links that join all classes of the cell which any link joins, from the greatest overlap down."""
+        a, b, common = self.candidates()
+        classes, number = np.unique(self.component, return_inverse=True)
+        up = list(range(len(classes)))
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        left, right = [], []
+        order = np.argsort(-common / (self.sizes[a] + self.sizes[b]), kind="stable")
+        for i, j, x, y in zip(a[order].tolist(), b[order].tolist(), number[a[order]].tolist(), number[b[order]].tolist(), strict=True):
+            if (x := find(x)) != (y := find(y)) and links(self.sets[i], self.sets[j], self.percent):
+                up[x] = y
+                left.append(i)
+                right.append(j)
+        return left, right
+
+
+def groups(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(group, node, component) of the members of blocks that hold several classes; blocks that share a node are one group."""
+    members = blocks.select("key", "node").unionByName(blocks.select("key", F.col("hub").alias("node")).distinct())
+    classed = members.join(classes.select("node", "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    mixed = classed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    edges = blocks.join(mixed, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    found = components(edges, "jaccard-groups").select("node", F.col("component").alias("group"))
+    return found.join(classes.select("node", "component"), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+
+
+def tree_links(blocks: DataFrame, classes: DataFrame, documents: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (hub, node) that join the classes in blocks of several classes, by signature trees."""
+    spark, (least, most) = blocks.sparkSession, CHUNK
+    sizes = documents.groupBy("node").agg(F.first("n").alias("n"))
+    rows = written(groups(blocks, classes).join(sizes, "node"), "jaccard-groups")
+    # a chunk is half of what a task would get if rows were dealt evenly, within bounds
+    even = rows.count() // (2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    per_class = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    stats = per_class.groupBy("group").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component")).alias("top"))
+    chunk = F.greatest(F.lit(1), F.least(F.lit(max(least, min(most, even))), F.expr(f"{CHUNK_BYTES >> 3} * n div shingles")))
+    cells = lambda n: F.greatest(F.lit(1), F.ceil(n / F.col("chunk"))).cast("int")
+    cut = stats.withColumn("chunk", chunk).select("group", (F.col("n") <= F.col("chunk")).alias("one"), F.col("top.component").alias("largest"), cells(F.col("top.n")).alias("a"), cells(F.col("n") - F.col("top.n")).alias("b"))
+    first = F.col("component") == F.col("largest")
+    placed = rows.join(cut, "group").withColumn("own", F.pmod(F.hash("node"), F.when(first, F.col("a")).otherwise(F.col("b"))))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    zero, own = F.lit(0), F.col("own")
+    where = (
+        F.when(F.col("one"), F.array(cell(0, zero, zero, zero)))
+        .when(first, F.transform(upto(F.col("b")), lambda j: cell(1, own, j, zero)))
+        .otherwise(F.concat(F.transform(upto(F.col("a")), lambda i: cell(1, i, own, F.lit(1))), F.transform(upto(F.col("b")), lambda k: cell(2, F.least(own, k), F.greatest(own, k), (own > k).cast("int")))))
+    )
+    dealt = placed.withColumn("cell", F.explode(where)).select("group", "cell.*", "node", "component")
+    full = dealt.join(texts, "node").select("group", "kind", "i", "j", "side", "node", "component", "text").repartition("group", "kind", "i", "j").sortWithinPartitions("group", "kind", "i", "j")
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        hashes = WordHashes()
+        held: list[tuple] = []
         last = None
         for batch in it:
-            marks = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
-            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                here = (int(marks[0, a]), int(marks[1, a]))
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for *here, side, node, component, text in zip(*columns, as_bytes(batch.column(7)), strict=True):
                 if held and here != last:
-                    yield from block_pairs(held, last[1])
+                    yield from joined(held)
                     held = []
-                held.append(batch.slice(a, b - a))
+                held.append((node, component, side, shingle_set(text, hashes, size)))
                 last = here
         if held:
-            yield from block_pairs(held, last[1])
+            yield from joined(held)
 
-    return map_arrow(full, search, "hub long, node long").distinct()
+    def joined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, component, side, sets = zip(*held, strict=True)
+        cell = Cell(*(np.array(x, np.int64) for x in (node, component, side)), list(sets), percent)
+        a, b = cell.forest()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(cell.node[a]), pa.array(cell.node[b])], names=["hub", "node"])
 
+    return map_arrow(full, search, "hub long, node long")
 
-def block_pairs(held: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """The candidate pairs of one chunk of a block."""
-    table = pa.Table.from_batches(held)
-    node, component, sizes = (table.column(i).to_numpy() for i in (2, 3, 4))
-    bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(len(node), -1)
-    a, b = SignatureTree(bits, sizes, component).pairs()
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["hub", "node"])
 
-
-def classes_of(docs: DataFrame) -> DataFrame:
+def classes_of(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, node, did, th, component) per document; component is the class's node."""
     tune(docs.sparkSession)
-    documents = written(shingled(docs), "jaccard-docs")
+    documents = told_apart(written(shingled(docs, size, percent), "jaccard-docs"))
     blocks = written(shared_blocks(documents), "jaccard-blocks")
     stars = written(blocks.select("hub", "node").distinct(), "jaccard-stars")
     nodes = stars.select("node").union(stars.select("hub")).distinct()
     texts = written(texts_of(docs, documents, nodes), "jaccard-texts")
-    first = written(verified(stars, texts), "jaccard-links")
-    classes = components(first.select(F.col("hub").alias("a"), F.col("node").alias("b")), "jaccard-first")
-    pairs = written(tree_pairs(blocks, classes, texts).join(stars, ["hub", "node"], "left_anti"), "jaccard-pairs")
-    if not pairs.isEmpty():
-        more = verified(pairs, texts)
-        classes = components(first.unionByName(more).select(F.col("hub").alias("a"), F.col("node").alias("b")), "jaccard-all")
+    first = written(verified(stars, texts, size, percent), "jaccard-links")
+    classes = joined_classes(first, "jaccard-first")
+    more = written(tree_links(blocks, classes, documents, texts, size, percent), "jaccard-more")
+    if not more.isEmpty():
+        classes = joined_classes(first.unionByName(more), "jaccard-all")
     return documents.join(classes, "node", "left").select("doc_id", "n", "node", "did", "th", F.coalesce("component", "node").alias("component"))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def joined_classes(found: DataFrame, name: str) -> DataFrame:
+    return components(found.select(F.col("hub").alias("a"), F.col("node").alias("b")), name)
+
+
+def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    found = written(classes_of(docs.select("doc_id", "text")), "jaccard-classes")
+    found = written(classes_of(docs.select("doc_id", "text"), size, percent), "jaccard-classes")
     # copies are combined per node first; each side of a join is a written table, so that Spark can split hot keys
     nodes = written(found.filter("n > 0").groupBy("node", "component").agg(F.min("doc_id").alias("low")), "jaccard-nodes")
     least = written(nodes.groupBy("component").agg(F.min("low").alias("component_id")), "jaccard-least")
@@ -388,11 +482,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return joined.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id (nulls last), then of the least hash of the text.
 
     A document without words is a class of its own; rows equal in doc_id and text are one document."""
-    found = written(classes_of(docs.select("doc_id", "text")), "jaccard-classes")
+    found = written(classes_of(docs.select("doc_id", "text"), size, percent), "jaccard-classes")
     least = found.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "did", "th")).alias("at"))
     chosen = least.select(F.col("at.did").alias("_did"), F.col("at.th").alias("_th")).unionByName(found.filter("n = 0").select(F.col("did").alias("_did"), F.col("th").alias("_th")).distinct())
     needed = ["doc_id", "text"]

@@ -249,13 +249,13 @@ def test_secrets_and_redaction(docs, rows):
 # --- Jaccard ---------------------------------------------------------------------------------------------------------
 
 
-def shingle_set(text):
+def shingle_set(text, size=3):
     w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def brute_classes(rows):
-    sets = [shingle_set(r[1]) for r in rows]
+def brute_classes(rows, size=3, percent=90):
+    sets = [shingle_set(r[1], size) for r in rows]
     up = list(range(len(rows)))
 
     def find(i):
@@ -266,7 +266,7 @@ def brute_classes(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             k = len(a & sets[j])
-            if a and sets[j] and 100 * k >= 90 * (len(a) + len(sets[j]) - k):
+            if a and sets[j] and 100 * k >= percent * (len(a) + len(sets[j]) - k):
                 up[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -292,40 +292,65 @@ def test_jaccard_equals_brute_force(spark, rows):
     assert sorted(map(tuple, found.collect())) == brute_classes(every)
 
 
-def test_jaccard_trees_and_chunks(spark, monkeypatch):
-    """Without stars everything is found by the trees; large blocks are split."""
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_in_small_chunks(spark, monkeypatch, size, percent):
+    """Large groups are split into cells, hubs over tasks; half of the stars' links are held back, for the trees to find."""
     rows = near_copies()
-    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "CHUNK", (4, 4))
     monkeypatch.setattr(jaccard, "HUB", 7)
-    real = jaccard.verified
-    calls = []
+    monkeypatch.setattr(jaccard, "verified", lambda *a, f=jaccard.verified: f(*a).filter("node % 2 = 0"))
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(3), size, percent)
+    assert sorted(map(tuple, found.collect())) == brute_classes(rows, size, percent)
 
-    def once(pairs, texts):
-        calls.append(1)
-        return real(pairs, texts).limit(5) if len(calls) == 1 else real(pairs, texts)
 
-    monkeypatch.setattr(jaccard, "verified", once)
-    found = jaccard.classes_of(spark.createDataFrame(rows, DOCS).repartition(3))
-    assert found.count() == len(rows)
-    tree = jaccard.SignatureTree(*(np.array(x) for x in ([jaccard.bitmap(np.array([k, k + 1, 5], np.uint64)) for k in range(40)], [3] * 40, list(range(40)))))
-    a, b = tree.pairs(50)
-    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} >= {(k, k + 1) for k in range(39)}
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_signature_trees_lose_no_pair(percent):
+    draw = random.Random(percent)
+    base = draw.sample(range(1 << 60), 150)
+    sets = [np.array(sorted({*draw.sample(base, draw.randint(90, 150)), *draw.sample(range(1 << 62), draw.randint(0, 20))}), np.uint64) for _ in range(150)]
+    for cut in (0, 40):
+        cell = jaccard.Cell(np.arange(150), np.arange(150) // 3, (np.arange(150) < cut).astype(int), sets, percent)
+        want = {(i, j) for i in range(150) for j in range(i) if i // 3 != j // 3 and (cut == 0 or (i < cut) != (j < cut)) and jaccard.links(sets[i], sets[j], percent)}
+        assert want <= {(max(i, j), min(i, j)) for i, j in zip(*(x.tolist() for x in cell.candidates()[:2]))}
+        assert graph_of(zip(*cell.forest()), lambda i: i // 3) == graph_of(want, lambda i: i // 3)
+
+
+def graph_of(pairs, name):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        a, b = find(name(i)), find(name(j))
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(up)}
+
+
+def test_sets_that_share_half_a_hash_are_told_apart(spark, monkeypatch):
+    texts = ["a b c d", "a b c d", "e f g h", "i j k l"]
+    monkeypatch.setattr(jaccard, "node_of", lambda s: (7, int(s[0] >> np.uint64(2))))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert sorted(r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, DOCS)).collect()) == [0, 0, 2, 3]
 
 
 def test_block_keys_lose_no_pair():
-    classes, hashes = jaccard.Classes(), jaccard.WordHashes()
-    for _ in range(300):
-        n = rng.choice([9, 10, 12, 13, 14, 19, 20, 21, 40, 100, 300])
+    hashes = jaccard.WordHashes()
+    for percent in [90, 80] * 200:
+        classes = jaccard.Classes(percent)
+        n = rng.choice([4, 5, 6, 9, 10, 12, 13, 14, 19, 20, 21, 40, 100, 300])
         a = rng.sample(range(10**6), n)
         b = list(a)
-        for _ in range(rng.randint(0, n // 10 + 1)):
+        for _ in range(rng.randint(0, n // (10 if percent == 90 else 5) + 1)):
             if rng.random() < 0.5 and len(b) > 1:
                 b.pop(rng.randrange(len(b)))
             else:
                 b.append(rng.randrange(10**6, 2 * 10**6))
         x, y = (jaccard.mix(np.array(sorted(set(s)), np.uint64)) for s in (a, b))
         x.sort(), y.sort()
-        if jaccard.links(x, y) and not np.array_equal(x, y):
+        if jaccard.links(x, y, percent) and not np.array_equal(x, y):
             k, m = jaccard.block_keys([x, y], classes)
             assert set(k.tolist()) & set(m.tolist())
     assert len(hashes) == 0
