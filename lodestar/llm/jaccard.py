@@ -10,7 +10,8 @@ connected components of the links. Words per shingle and ``percent`` are paramet
    Shingles are dealt by hash to more than d parts, so some part holds the same shingles
    in both; its hash is a block key. Sizes fall into classes, each with its number of parts; a
    document also enters the next class if a partner can be there. A document with more empty parts than
-   were allowed for adds the class's key of the empty part. A key stands for several shingles at
+   were allowed for, some in a thousand, is dealt again in another way, up to DEALS times, and after that, one in thousands of millions, adds a key
+   that stands for its class: a pair that no part of one deal brings together has too many empty parts in both. A key stands for several shingles at
    once, so a passage that many documents share doesn't bring them together.
 3. In each block all nodes are linked to its least one, as candidates; these stars are verified, and give first classes.
    Within a class nothing more needs comparing.
@@ -19,8 +20,8 @@ connected components of the links. Words per shingle and ``percent`` are paramet
    are traversed at once, and a pair of tree nodes is pruned when it has one class, when the ranges of sizes are too far apart or when the
    greatest overlap that the bitmaps allow is too small. Pairs of leaves that remain are verified on the full sets, those of the
    greatest overlap first, and only while their classes are apart: what comes out is a forest over the classes, not all pairs.
-   A node stands in one group, so its text is sent once, not for each of its blocks. A large group is split into
-   cells: its largest class and the others are cut into chunks, and pairs of chunks meet, each pair in one cell.
+   A node stands in one group, so its text is sent once, not for each of its blocks; blocks that would make a group of more than GROUP nodes
+   stay apart. A large group is split into cells: its largest class and the others are cut into chunks, and pairs of chunks meet, each pair in one cell.
 5. The verified links of both steps give the classes.
 
 Block keys and links are those of 64-bit shingle hashes. Nothing is capped, and texts are whole.
@@ -48,6 +49,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Ratio of the sizes of a size class.
 CLASS_RATIO = 1.5
+#: Ways to deal shingles to parts.
+DEALS = 6
+#: Most nodes of blocks that are put together.
+GROUP = 20_000
 #: Members of one chunk of a large group, at least and at most, and the bytes of their sets.
 CHUNK = (512, 4096)
 CHUNK_BYTES = 16 << 20
@@ -149,31 +154,40 @@ def block_keys(sets: list[np.ndarray], classes: Classes) -> list[np.ndarray]:
     for step in (0, 1):
         c = own + step
         chosen = np.flatnonzero((own >= 0) if step == 0 else classes.reaches_next(sizes, own))
-        if not len(chosen):
-            continue
-        parts = classes.parts[c[chosen]]
-        offset = np.concatenate([[0], np.cumsum(parts)])
-        flat = np.concatenate([sets[i] for i in chosen])
-        count = sizes[chosen]
-        part = ((flat >> _U(20)) % np.repeat(parts, count).astype(np.uint64)).astype(np.int64)
-        at = part + np.repeat(offset[:-1], count)
-        value = mix(flat + _U(0x9E3779B97F4A7C15))
-        # sums of 32-bit halves are exact in doubles up to 2**21 shingles a part
-        low = np.bincount(at, (value & _U(0xFFFFFFFF)).astype(np.float64), offset[-1]).astype(np.uint64)
-        high = np.bincount(at, (value >> _U(32)).astype(np.float64), offset[-1]).astype(np.uint64)
-        number = np.arange(offset[-1]) - np.repeat(offset[:-1], parts)
-        level = np.repeat(c[chosen], parts)
-        key = mix(mix(low + (high << _U(32))) + _U(0x632BE59BD9B4E019) * (number + 1).astype(np.uint64) + (level.astype(np.uint64) << _U(48)))
-        full = np.bincount(at, minlength=offset[-1]) > 0
-        for j, i in enumerate(chosen.tolist()):
-            a, b = offset[j], offset[j + 1]
-            mine = key[a:b][full[a:b]]
-            if b - a - len(mine) > classes.spare[c[i]]:
-                mine = np.append(mine, mix(np.array([c[i] + 1], np.uint64)))
-            out[i].append(mine)
+        for deal in range(DEALS):
+            if not len(chosen):
+                break
+            again = []
+            for i, (keys, enough) in zip(chosen.tolist(), _dealt([sets[i] for i in chosen], c[chosen], classes, deal), strict=True):
+                out[i].append(keys)
+                if not enough:
+                    again.append(i)
+            chosen = np.array(again, np.int64)
+        for i in chosen.tolist():
+            out[i].append(mix(np.array([c[i] + 1], np.uint64)))
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+def _dealt(sets: list[np.ndarray], c: np.ndarray, classes: Classes, deal: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """The keys of each set from one deal of shingles to parts, and whether no more parts are empty than allowed for."""
+    parts, count = classes.parts[c], np.array([len(s) for s in sets], np.int64)
+    offset = np.concatenate([[0], np.cumsum(parts)])
+    flat = np.concatenate(sets)
+    order = mix(flat + _U(deal)) if deal else flat
+    at = ((order >> _U(20)) % np.repeat(parts, count).astype(np.uint64)).astype(np.int64) + np.repeat(offset[:-1], count)
+    value = mix(flat + _U(0x9E3779B97F4A7C15))
+    # sums of 32-bit halves are exact in doubles up to 2**21 shingles a part
+    low = np.bincount(at, (value & _U(0xFFFFFFFF)).astype(np.float64), offset[-1]).astype(np.uint64)
+    high = np.bincount(at, (value >> _U(32)).astype(np.float64), offset[-1]).astype(np.uint64)
+    number = np.arange(offset[-1]) - np.repeat(offset[:-1], parts)
+    level = np.repeat(c, parts).astype(np.uint64) + _U(deal << 8)
+    key = mix(mix(low + (high << _U(32))) + _U(0x632BE59BD9B4E019) * (number + 1).astype(np.uint64) + (level << _U(48)))
+    full = np.bincount(at, minlength=offset[-1]) > 0
+    for a, b, k in zip(offset, offset[1:], c, strict=False):
+        mine = key[a:b][full[a:b]]
+        yield mine, b - a - len(mine) <= classes.spare[k]
+
+
 def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, node, proof, did, th, keys) per document: size and two hashes of its set, what finds its row again, and its block keys.
 
@@ -392,13 +406,16 @@ class Cell:
 
 
 def groups(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(group, node, component) of the members of blocks that hold several classes; blocks that share a node are one group."""
+    """(group, node, component) of the members of blocks that hold several classes; blocks that share a node are one group, up to GROUP nodes."""
     members = blocks.select("key", "node").unionByName(blocks.select("key", F.col("hub").alias("node")).distinct())
-    classed = members.join(classes.select("node", "component"), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    classed = members.join(classes.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = classed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    edges = blocks.join(mixed, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    found = components(edges, "jaccard-groups").select("node", F.col("component").alias("group"))
-    return found.join(classes.select("node", "component"), "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    held = written(classed.join(mixed, "key"), "jaccard-mixed")
+    joined = components(blocks.join(mixed, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")), "jaccard-groups").withColumnRenamed("component", "group")
+    large = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group")
+    alone = joined.join(large, "group", "left_semi").select("node")
+    small = held.select("node", "component").distinct().join(joined.join(large, "group", "left_anti"), "node")
+    return small.select("group", "node", "component").unionByName(held.join(alone, "node", "left_semi").select(F.col("key").alias("group"), "node", "component").distinct())
 
 
 def tree_links(blocks: DataFrame, classes: DataFrame, documents: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
