@@ -9,11 +9,12 @@ their pointers to list the path's nodes, again with one join per power of two.
 
 Escaping: inside role and text one backslash is added to each run of backslashes between ``<``
 and ``|``, so ``<|`` never stands in an escaped string, and removing one backslash restores it.
-A line break in a role becomes ``<\\n|``.
+In a role the same is done between ``<`` and ``n|``, and a line break becomes ``<n|``.
 
-Defined cases: null text or role is empty; rows of a conversation that tie on ``turn`` are ordered by role, then text;
-repeated rows stay; a null parent, or one that is absent, makes a root; null scores count 0; a null
-conversation id is a conversation of its own; an empty table gives an empty result.
+Defined cases: null text or role is empty; rows of a conversation that tie on ``turn`` (null first) are ordered by role, then text;
+repeated rows stay; a null parent, or one that is absent, makes a root; null scores count 0; all rows of null
+conversation id are one conversation; texts may be of any length; other columns, whatever their names, are ignored; an empty
+table gives an empty result. A conversation is one row of the result, so one task holds it.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.replace(escape(c), F.lit("\n"), F.lit("<\\n|"))
+    return F.replace(F.regexp_replace(c, r"<(\\*)(n?)\|", r"<$1\\$2|"), F.lit("\n"), F.lit("<n|"))
 
 
 def unescape_role(c: Column) -> Column:
-    return unescape(F.replace(c, F.lit("<\\n|"), F.lit("\n")))
+    return F.regexp_replace(F.replace(c, F.lit("<n|"), F.lit("\n")), r"<\\(\\*)(n?)\|", r"<$1$2|")
 
 
 def linear_tree(conversations: DataFrame) -> DataFrame:
@@ -117,23 +118,26 @@ def format_paths(steps: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns of each formatted conversation, parsed from ``formatted`` and ``loss_spans`` alone: turns (role, text, begin, end, loss).
-
-    Control strings can't stand in an escaped text, so splitting at the end mark is exact and linear."""
-    pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "")
-    parsed = F.transform(
-        "pieces",
-        lambda x: F.struct(
-            F.substring_index(F.substr(x, F.lit(len(START) + 1)), "\n", 1).alias("role"),
-            F.length(x).cast("long").alias("size"),
-            x.alias("piece"),
-        ),
-    )
-    turned = F.transform(
-        "parsed",
-        lambda x: F.struct(unescape_role(x.role).alias("role"), unescape(F.substr(x.piece, F.length(x.role) + len(START) + 2)).alias("text"), F.length(F.substr(x.piece, F.length(x.role) + len(START) + 2)).cast("long").alias("size")),
-    )
-    return formatted.withColumn("pieces", pieces).withColumn("parsed", parsed).withColumn("turns", turned).drop("pieces", "parsed")
+    """The turns (role, text) of each formatted conversation and ``loss``, the text under its mask, unescaped; parsed from ``formatted`` and ``loss_spans`` alone.
+
+    Control strings can't stand in an escaped text, so splitting at the end mark is exact and linear. A span's text is cut
+    from the piece in which it begins, which is found by sorting pieces and spans by their places."""
+    pieces = formatted.select("tree_id", "branch", F.posexplode(F.split("formatted", r"(?<=<\|im_end\|>\n)")).alias("nth", "piece")).filter("piece != ''")
+    way = Window.partitionBy("tree_id", "branch").orderBy("nth")
+    placed = pieces.withColumn("at", F.sum(F.length("piece").cast("long")).over(way) - F.length("piece"))
+    spans = formatted.select("tree_id", "branch", F.explode("loss_spans").alias("s")).select("tree_id", "branch", F.col("s.begin").alias("at"), F.col("s.end").alias("end"))
+    every = placed.select("tree_id", "branch", "at", "piece", F.lit(None).cast("long").alias("end")).unionByName(spans.withColumn("piece", F.lit(None).cast("string")))
+    sofar = Window.partitionBy("tree_id", "branch").orderBy("at", F.col("end").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # a piece, or a span with the piece in which it begins
+    met = every.withColumn("of", F.last("piece", True).over(sofar)).withColumn("from", F.last(F.when(F.col("end").isNull(), F.col("at")), True).over(sofar))
+    head = F.substring_index(F.substr("piece", F.lit(len(START) + 1)), "\n", 1)
+    said = F.substr(F.col("piece"), F.length(head) + len(START) + 2, F.length("piece") - F.length(head) - (len(START) + 1 + len(END)))
+    under = F.substr(F.col("of"), (F.col("at") - F.col("from") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))
+    told = met.select("tree_id", "branch", "at", "end", F.when(F.col("end").isNull(), F.struct(unescape_role(head).alias("role"), unescape(said).alias("text"))).alias("turn"), F.when(F.col("end").isNotNull(), unescape(under)).alias("loss"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c)))), lambda x: x[c])
+    back = told.groupBy("tree_id", "branch").agg(in_order("turn").alias("turns"), F.array_join(in_order("loss"), "").alias("loss"))
+    other = formatted.select(F.col("tree_id").alias("t"), F.col("branch").alias("b"), "path_score", "formatted", "loss_spans")
+    return back.join(other, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("branch") == F.col("b"))).drop("t", "b")
 
 
 def control_rows(spark: SparkSession) -> DataFrame:
@@ -142,21 +146,16 @@ def control_rows(spark: SparkSession) -> DataFrame:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """The formatted conversations' digests, read back from the output."""
+    """The formatted conversations' digests, read back from the output; those of the loss come from what stands under the mask."""
     nodes = written(linear_tree(conversations), "chat-nodes")
     turns = read_back(written(format_paths(paths(nodes)), "chat-formatted"))
-    # each loss span must be the place of an assistant's text: begins follow from the pieces' lengths
-    spoken = F.filter("turns", lambda x: x.role == "assistant")
-    loss = F.concat_ws("", F.transform(spoken, lambda x: x.text))
-    under = F.transform("loss_spans", lambda x: x.end - x.begin)
     return turns.select(
         F.col("tree_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.concat_ws("", F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n")))).cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        (under == F.transform(spoken, lambda x: x.size)).alias("mask_agrees"),
     )
 
 
@@ -167,7 +166,7 @@ e as (select *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') as text_out from
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  sum(length(text_out) + length(role) + 24)::bigint as formatted_chars, true as mask_agrees
+  sum(length(text_out) + length(role) + 24)::bigint as formatted_chars
 from e group by conv_id
 """
 

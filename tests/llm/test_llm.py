@@ -132,6 +132,31 @@ def test_chat_deep_and_empty(spark):
     assert chat.chat_digest(deep.limit(0)).count() == 0
 
 
+def test_chat_loss_is_read_through_the_mask(spark):
+    nodes = spark.createDataFrame([(1, 1, None, 0.0, "user", "q <|x"), (1, 2, 1, 0.0, "assistant", "one <|im_end|>\n"), (1, 3, 2, 0.0, "assistant", ""), (1, 4, 3, 0.0, "assistant", "two é")], "tree_id long, node_id long, parent_id long, score double, role string, text string")
+    formatted = chat.format_paths(chat.paths(nodes))
+    assert chat.read_back(formatted).first().loss == "one <|im_end|>\ntwo é"
+    moved = formatted.withColumn("loss_spans", F.transform("loss_spans", lambda x: F.struct((x.begin - 7).alias("begin"), (x.end - 7).alias("end"))))
+    assert chat.read_back(moved).first().loss != "one <|im_end|>\ntwo é"
+    assert chat.read_back(formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 0))).first().loss == ""
+
+
+def test_chat_roles_and_odd_inputs(spark):
+    roles = ["a<\\n|b", "a<n|b", "a\nb", "<|", "<\n|", "<\\|\n|", "<\\\\n|", "\n", "", None, "<" + "\n" + "n|"]
+    rows = [(1, t, r, f"text {t}", "x") for t, r in enumerate(roles)] + [(None, 1, "user", None, "x"), (None, None, "assistant", "w" * 200_000, "x"), (2, 5, "assistant", "same", "x"), (2, 5, "assistant", "same", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, extra string")
+    back = chat.read_back(chat.format_paths(chat.paths(chat.linear_tree(df)))).filter("tree_id = 1").first()
+    assert [(t.role, t.text) for t in back.turns] == [(r or "", f"text {t}") for t, r in enumerate(roles)]
+    odd = df
+    for c in ("tree_id", "node_id", "parent_id", "score", "t", "p", "up", "total", "hops", "branch", "at", "piece", "loss"):
+        odd = odd.withColumn(c, F.lit("x"))
+    assert got(chat.chat_digest(odd)) == got(chat.chat_digest(df))
+    found = {r.conv_id: r for r in chat.chat_digest(df).collect()}
+    assert found[None].n_turns == 2 and found[None].loss_chars == 200_000 and found[2].n_turns == 2 and found[2].loss_chars == 8
+    empty = chat.chat_digest(df.limit(0))
+    assert empty.count() == 0 and empty.columns == chat.chat_digest(df).columns
+
+
 # --- language models -------------------------------------------------------------------------------------------------
 
 
