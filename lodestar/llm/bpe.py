@@ -8,7 +8,8 @@ run of non-space characters, its space included), and the ids of such pieces are
 bounded cache of the worker, since texts repeat their words.
 
 Defined cases: null text is the empty text, with no ids; special tokens spelled out in a text
-become their id, as in the library; lengths are unbounded; repeated rows are encoded each; an empty table gives an empty result.
+become their id, as in the library; texts may be of any length; repeated rows are encoded each; of equal pairs the leftmost merges first; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import Remembered, map_arrow, tune
 
 #: Entries of one generation of the worker's cache of pieces.
 CACHE = 250_000
+#: Bytes of ids after which rows are handed on.
+EMIT = 2 << 20
 #: Fixed values of the byte-level pre-tokenizer: its pattern, and white space as it knows it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -155,16 +158,17 @@ def bpe(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Dat
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in it:
-            counts, sums, texts, coded = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = tok.encode(text or "")
-                counts.append(len(ids) // 4)
-                sums.append(hashlib.sha256(ids).hexdigest())
-                texts.append(hashlib.sha256(tok.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    coded.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(coded, pa.binary())] if with_ids else []), names=names)
+            rows: list[tuple] = []
+            begin = size = 0
+            for i, text in enumerate(batch.column(1)):  # one text at a time: a batch may hold very long ones
+                ids = tok.encode(text.as_py() or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tok.decode(ids).encode()).hexdigest(), ids if with_ids else b""))
+                size += len(ids)
+                if size >= EMIT or i == batch.num_rows - 1:
+                    counts, sums, texts, coded = zip(*rows, strict=True)
+                    columns = [batch.column(0).slice(begin, len(rows)), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + ([pa.array(coded, pa.binary())] if with_ids else []), names=names)
+                    rows, begin, size = [], i + 1, 0
         tok.pieces.forget()
 
     return map_arrow(docs, run, T.StructType(fields))

@@ -16,22 +16,27 @@ from pyspark.sql import types as T
 #: Bytes of one Arrow batch sent to a Python worker; keeps long texts from piling up in one batch.
 BATCH_BYTES = 8 << 20
 
+#: Rows that the Parquet reader decodes at once, 4096 by default: its buffers hold that many texts.
+BATCH_ROWS = 512
+
 #: The six ASCII white-space characters that separate words: space and U+0009 to U+000D.
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, since documents may be long and wavelet shards are."""
+    """Bound Arrow batches by bytes, since documents may be long and wavelet shards are, and read Parquet in batches of fewer rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's. Only a local session, where all is one machine, gets an own one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestar-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
