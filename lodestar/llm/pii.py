@@ -2,18 +2,21 @@
 
 The base rules find e-mail and IP addresses, cards and phone numbers. The field then labels the
 *candidate tokens* of a document: space-separated tokens with a digit or ``@``. Its potentials are
-a softmax over shape features of each token and its neighbours, a transition for candidates that stand next to each other, and a
-skip potential between a candidate and the next one with the same or a similar core (equal but for case, punctuation and
-digits' separators), which makes distant repetitions agree. Marginals come from loopy
-sum-product message passing; runs of tokens labelled alike with a marginal of at least
+a score of the shape features of each token and its neighbours, a transition for candidates that stand next to each other, a
+skip potential between a candidate and the one before it with the same core (equal but for case, punctuation and
+digits' separators), and another between similar ones (the same last seven digits, or the same domain), which make distant repetitions agree.
+Marginals come from loopy sum-product message passing; runs of tokens labelled alike with a marginal of at least
 ``CERTAIN`` are added as spans where no base span is. Base spans always stay.
 
-Weights are trained here on what the base rules mark (distant supervision) in at most
-``SAMPLE_DOCS`` documents, those of least hash; a transition or skip potential is the smoothed log
-ratio of how often labels meet to how often they would by chance. Every document is labelled.
+The field is trained here on what the base rules mark (distant supervision) in at most ``SAMPLE_DOCS`` documents of at most
+``SAMPLE_CHARS`` code points, those of least hash. Weights start from independent estimates, a softmax regression and log ratios of
+how often labels meet to how often they would by chance; ``STEPS`` steps then follow the gradient of the field's own likelihood: counts
+expected given the sample's labels less those expected without them, both from message passing, with all potentials moving together. A candidate that
+the base rules leave but that repeats or resembles one they mark has no known label; it is left open. Every document is labelled, whole.
 
 Defined cases: null text is empty and has no spans; spans are in code points, end exclusive;
-repeated rows are labelled each; an empty table gives an empty result; a sample without personal data adds no spans.
+repeated rows are labelled each; texts and tokens may be of any length; of two labels with the same marginal the first counts; other columns, whatever
+their names, are ignored; an empty table gives an empty result; a sample without personal data adds no spans.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ from .common import map_arrow, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
+#: Most documents that are trained on, and the code points of the longest of them.
 SAMPLE_DOCS = 3000
-#: Candidate tokens of one document that enter training, evenly spread; labelling has no such bound.
-SAMPLE_TOKENS = 200
+SAMPLE_CHARS = 50_000
+STEPS, RATE, RIDGE = 20, 0.5, 1e-4
 CERTAIN = 0.95
 #: Pseudo-counts of the pairwise potentials: meetings by chance, and repetitions that agree.
 CHANCE, AGREEING = 5.0, 200.0
@@ -46,7 +50,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WHITE = frozenset(" \t\n\v\f\r")
+#: A token from its first digit or ``@`` on; what stands before is found by stepping back, so each character is read once.
+_TAIL = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 
 
 def luhn(digits: str) -> bool:
@@ -115,36 +121,57 @@ _EDGE = "#*$%&|<>!?,;:\"'[]{}…"
 
 def candidates(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[bool], list[str]]:
     """Extents without outer punctuation, features, whether each stands right after the one before, and cores for comparison."""
-    at, cores, follows, last = [], [], [], -2
-    for m in _TOKEN.finditer(text):
-        raw = m[0]
-        a = m.start() + len(raw) - len(raw.lstrip(_EDGE))
+    at, cores, follows, last, done = [], [], [], -2, 0
+    for m in _TAIL.finditer(text):
+        begin = m.start()
+        while begin > done and text[begin - 1] not in _WHITE:
+            begin -= 1
+        done = m.end()
+        raw = text[begin:done]
+        a = begin + len(raw) - len(raw.lstrip(_EDGE))
         core = raw.strip(_EDGE).rstrip(".")
         if not core:
             continue
         at.append((a, a + len(core)))
         cores.append(core)
-        follows.append(last >= 0 and m.start() - last == 1)
-        last = m.end()
+        follows.append(last >= 0 and begin - last == 1)
+        last = done
     shapes = [shape(c) for c in cores]
     features = []
     for i, f in enumerate(shapes):
         near = [40 + x for x in shapes[i - 1] if x < 28] if follows[i] else [94]
         near += [68 + x for x in shapes[i + 1] if x < 26] if i + 1 < len(shapes) and follows[i + 1] else [95]
         features.append(f + near)
-    return at, features, follows, ["".join(c for c in x.lower() if c.isalnum() or c == "@") for x in cores]
+    return at, features, follows, ["".join(c for c in x.lower() if c.isalnum() or c in "@.") for x in cores]
+
+
+#: Kinds of edges: neighbours, equal cores, similar cores.
+CHAIN, SAME, SIMILAR = range(3)
+
+
+def similar(core: str) -> str:
+    """What similar cores have in common: the domain of an address, or the last seven digits; empty if there is none."""
+    if "@" in core:
+        return core[core.rindex("@") :]
+    digits = digits_of(core)
+    return digits[-7:] if len(digits) >= 7 else ""
 
 
-def edges_of(follows: list[bool], cores: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges, and skip edges from each candidate to the last one before with the same core."""
-    chain = [(i - 1, i) for i in range(1, len(follows)) if follows[i]]
+def edges_of(follows: list[bool], cores: list[str]) -> list[tuple[int, int, int]]:
+    """(from, to, kind): neighbours, and each candidate with the last one before that has the same core, or else a similar one."""
+    out = [(i - 1, i, CHAIN) for i in range(1, len(follows)) if follows[i]]
     seen: dict[str, int] = {}
-    skip = []
+    like: dict[str, int] = {}
     for i, core in enumerate(cores):
-        if core in seen and len(core) > 2:
-            skip.append((seen[core], i))
-        seen[core] = i
-    return chain, skip
+        plain, near = core.replace(".", ""), similar(core)
+        if plain in seen and len(plain) > 2:
+            out.append((seen[plain], i, SAME))
+        elif near and near in like:
+            out.append((like[near], i, SIMILAR))
+        seen[plain] = i
+        if near:
+            like[near] = i
+    return out
 
 
 def truth(at: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
@@ -162,36 +189,49 @@ def truth(at: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[
 
 
 class Model:
-    """unary: features x labels; chain and skip: log potentials of two labels."""
+    """unary: features x labels; pairwise: for each kind of edge the log potentials of two labels."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, pairwise: np.ndarray):
+        self.unary, self.pairwise = unary, pairwise
 
-    def marginals(self, features: list[list[int]], follows: list[bool], cores: list[str]) -> np.ndarray:
-        n = len(features)
-        flat = np.concatenate([np.asarray(f) for f in features])
-        ends = np.cumsum([len(f) for f in features])
-        score = np.add.reduceat(self.unary[flat], np.concatenate([[0], ends[:-1]]), axis=0)
-        chain, skip = edges_of(follows, cores)
-        pairs = np.array(chain + skip, np.int64).reshape(-1, 2)
-        if not len(pairs):
-            return softmax(score)
-        forward = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
-        source = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        target = np.concatenate([pairs[:, 1], pairs[:, 0]])
+    def scores(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.unary[flat], starts, axis=0)
+
+    def beliefs(self, score: np.ndarray, edges: np.ndarray, joint: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Marginals of the candidates after ROUNDS rounds of messages, and if asked those of the edges."""
+        n, k = len(edges), score.shape[1]
+        if not n:
+            return softmax(score), np.zeros((0, k, k)) if joint else None
+        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        forward = self.pairwise[edges[:, 2]]
         potential = np.concatenate([forward, forward.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        messages = np.zeros((len(source), score.shape[1]))
-        for _ in range(ROUNDS):
+        back = np.concatenate([np.arange(n) + n, np.arange(n)])
+        messages = np.zeros((2 * n, k))
+
+        def gathered() -> np.ndarray:
             belief = score.copy()
-            np.add.at(belief, target, messages)
-            out = belief[source] - messages[back]
-            new = logsum(out[:, :, None] + potential)
+            for label in range(k):
+                belief[:, label] += np.bincount(target, messages[:, label], len(score))
+            return belief
+
+        for _ in range(ROUNDS):
+            new = logsum((gathered()[source] - messages[back])[:, :, None] + potential)
             messages = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
-        belief = score.copy()
-        np.add.at(belief, target, messages)
-        assert len(belief) == n
-        return softmax(belief)
+        belief = gathered()
+        if not joint:
+            return softmax(belief), None
+        out = belief[source] - messages[back]
+        pairs = out[:n, :, None] + forward + out[n:, None, :]
+        return softmax(belief), softmax(pairs.reshape(n, k * k)).reshape(n, k, k)
+
+    def marginals(self, features: list[list[int]], follows: list[bool], cores: list[str]) -> np.ndarray:
+        flat, starts = flattened(features)
+        return self.beliefs(self.scores(flat, starts), np.array(edges_of(follows, cores), np.int64).reshape(-1, 3))[0]
+
+
+def flattened(features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(f) for f in features])
+    return np.concatenate([np.asarray(f) for f in features]), np.concatenate([[0], ends[:-1]])
 
 
 def logsum(x: np.ndarray) -> np.ndarray:
@@ -204,66 +244,91 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sampled(docs: DataFrame) -> list[tuple[list[int], int, int, int]]:
-    """(features, label, label before or -1, label at the other end of the skip edge or -1) of the sample's candidates."""
-    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+def sampled(docs: DataFrame) -> list[tuple[list[list[int]], list[int], list[tuple[int, int, int]]]]:
+    """(features, labels, edges) of the sample's documents that have candidates."""
+    some = docs.filter(F.col("doc_id").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
+    ids = some.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_h")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows: list[tuple[list[int], int, int, int]] = []
-            for text in batch.column(1).to_pylist():
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text or not _HAS.search(text):
                     continue
                 at, features, follows, cores = candidates(text)
-                label = truth(at, base_spans(text))
-                before, other = [-1] * len(at), [-1] * len(at)
-                chain, skip = edges_of(follows, cores)
-                for i, j in chain:
-                    before[j] = label[i]
-                for i, j in skip:
-                    other[j] = label[i]
-                step = -(-len(at) // SAMPLE_TOKENS) or 1
-                rows += [(features[i], label[i], before[i], other[i]) for i in range(0, len(at), step)]
+                if at:
+                    rows.append((str(doc), features, truth(at, base_spans(text)), [list(e) for e in edges_of(follows, cores)]))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int32())), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["f", "y", "b", "o"])
-
-    # both the ids and the rows are bounded by the sample's parameters
-    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), run, "f array<int>, y int, b int, o int").collect()
-    return [(list(r.f), r.y, r.b, r.o) for r in rows]
-
-
-def train(rows: list[tuple[list[int], int, int, int]]) -> Model:
-    rows = sorted(rows)
+            nested = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), nested, pa.list_(pa.int32()), nested), strict=True)], names=["d", "f", "y", "e"])
+
+    # one text for each of at most SAMPLE_DOCS ids, none of them long
+    chosen = some.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id"])
+    rows = map_arrow(chosen.select("doc_id", "text"), run, "d string, f array<array<int>>, y array<int>, e array<array<int>>").collect()
+    return [(r.f, r.y, [tuple(e) for e in r.e]) for r in sorted(rows, key=lambda r: r.d)]
+
+
+def train(docs: list[tuple[list[list[int]], list[int], list[tuple[int, int, int]]]]) -> Model:
+    features, y, edges, k = [], [], [], len(LABELS)
+    for f, labels, own in docs:
+        edges += [(a + len(features), b + len(features), kind) for a, b, kind in own]
+        features += f
+        y += labels
+    if not any(y):
+        unary = np.zeros((N_FEATURES, k))
+        unary[:, 0] = 10
+        return Model(unary, np.zeros((3, k, k)))
+    flat, starts = flattened(features)
+    label, pairs = np.array(y), np.array(edges, np.int64).reshape(-1, 3)
+    distant = pairs[pairs[:, 2] != CHAIN]
+    known = np.ones(len(y), bool)
+    for a, b in ((0, 1), (1, 0)):
+        known[distant[(label[distant[:, a]] > 0) & (label[distant[:, b]] == 0), b]] = False
+    held = np.where(known[:, None] & (np.eye(k)[label] == 0), -1e6, 0.0)
+    model = Model(independent([f for f, x in zip(features, known.tolist(), strict=True) if x], np.eye(k)[label[known]]), meetings(label, pairs, known))
+    of = np.repeat(np.arange(len(y)), np.diff(np.append(starts, len(flat))))
+    for _ in range(STEPS):
+        score = model.scores(flat, starts)
+        given, joint_given = model.beliefs(score + held, pairs, True)
+        belief, joint = model.beliefs(score, pairs, True)
+        off = (given - belief) / len(y)
+        slope = np.stack([np.bincount(flat, off[of, label], N_FEATURES) for label in range(k)], axis=1)
+        model.unary += RATE * (slope - RIDGE * model.unary)
+        for kind in range(3):
+            if len(mine := np.flatnonzero(pairs[:, 2] == kind)):
+                model.pairwise[kind] += RATE * ((joint_given[mine] - joint[mine]).mean(axis=0) - RIDGE * model.pairwise[kind])
+    return model
+
+
+def independent(features: list[list[int]], truth: np.ndarray) -> np.ndarray:
+    """Weights of a softmax regression on each candidate by itself."""
+    x = np.zeros((len(features), N_FEATURES), bool)
+    for i, f in enumerate(features):
+        x[i, f] = True
+    x, inverse = np.unique(x, axis=0, return_inverse=True)
+    y, x = np.zeros((len(x), truth.shape[1])), x.astype(np.float32)
+    np.add.at(y, inverse.ravel(), truth)
+    weight, unary, speed = y.sum(axis=1, keepdims=True), np.zeros((N_FEATURES, truth.shape[1])), np.zeros((N_FEATURES, truth.shape[1]))
+    for _ in range(400):
+        speed = 0.9 * speed - 0.5 * (x.T @ (softmax(x @ unary) * weight - y) / weight.sum() + RIDGE * unary)
+        unary += speed
+    return unary
+
+
+def meetings(label: np.ndarray, pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each kind of edge the log ratio of how often two known labels meet to how often they would by chance."""
     k = len(LABELS)
-    unary = np.zeros((N_FEATURES, k))
-    if rows:
-        x = np.zeros((len(rows), N_FEATURES), np.float32)
-        for i, (f, *_) in enumerate(rows):
-            x[i, f] = 1
-        x, inverse = np.unique(x, axis=0, return_inverse=True)
-        y = np.zeros((len(x), k))
-        np.add.at(y, (inverse.ravel(), [r[1] for r in rows]), 1)
-        weight = y.sum(axis=1, keepdims=True)
-        speed = np.zeros_like(unary)
-        for _ in range(400):
-            slope = x.T @ (softmax(x @ unary) * weight - y) / weight.sum() + 1e-4 * unary
-            speed = 0.9 * speed - 0.5 * slope
-            unary += speed
-    prior = np.bincount([r[1] for r in rows], minlength=k).astype(float) + 1
+    prior = np.bincount(label[known], minlength=k).astype(float) + 1
     prior /= prior.sum()
-
-    def ratio(at: int, agreeing: float) -> np.ndarray:
-        # chance meetings as pseudo-counts leave pairs without evidence neutral; equal labels get a prior of their own
-        chance = np.outer(prior, prior)
+    # chance meetings as pseudo-counts leave pairs without evidence neutral; equal labels of repetitions get a prior of their own
+    chance, pairs = np.outer(prior, prior), pairs[known[pairs[:, 0]] & known[pairs[:, 1]]]
+    out = []
+    for kind, agreeing in ((CHAIN, 0.0), (SAME, AGREEING), (SIMILAR, AGREEING)):
         seen = CHANCE * chance + agreeing * np.diag(prior)
-        for r in rows:
-            if r[at] >= 0:
-                seen[r[at], r[1]] += 1
-        return np.log(seen / seen.sum() / chance).clip(-4, 4)
-
-    if not any(r[1] for r in rows):
-        unary[:, 0] += 10
-    return Model(unary, ratio(2, 0.0), ratio(3, AGREEING))
+        mine = pairs[pairs[:, 2] == kind]
+        np.add.at(seen, (label[mine[:, 0]], label[mine[:, 1]]), 1)
+        out.append(np.log(seen / seen.sum() / chance).clip(-4, 4))
+    return np.array(out)
 
 
 def added(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
