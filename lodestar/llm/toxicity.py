@@ -1,14 +1,15 @@
 """Toxicity by a counterfactually regularised classifier (operator 7).
 
 A logistic model over the words of a document (present or not, so that length does not matter)
-is trained on at most ``SAMPLE_DOCS`` labelled documents, those of least hash, with an L1 penalty, which leaves the words that tell.
+is trained on at most ``SAMPLE_DOCS`` labelled rows, those of least hash, with an L1 penalty, which leaves the words that tell.
 Each training document that has an identity term is also read with the term swapped for others,
-and the squared change of its score is added to the loss, so neutral mentions of a group do not
+and the squared change of its logit is added to the loss, so neutral mentions of a group do not
 raise the score. Rows held out (crc32 of doc_id modulo 4 is 2) are never learnt from; nothing but the text enters a score.
 
 Defined cases: null or empty text scores as a text without known words; a null doc_id is not held
-out; repeated labels of a document count as rows; without labels of both kinds every score is the smoothed share of label 1;
-an empty table gives an empty result.
+out; repeated labels of a document count as rows, and so do repeated documents; a text over ``SAMPLE_CHARS`` code points isn't learnt from, but any is scored whole;
+without labels of both kinds every score is the smoothed share of label 1; ties in the order of the sample fall to doc_id, label and
+the text's hash; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +28,14 @@ from pyspark.sql import types as T
 from .common import as_bytes, map_arrow, tune
 from .decontam import FOLD
 
-#: Most labelled documents that training reads, and the fewest of them a word must stand in.
+#: Most labelled rows that training reads, the code points of the longest of them, and the fewest rows a word must stand in.
 SAMPLE_DOCS = 20_000
+SAMPLE_CHARS = 200_000
 LEAST_DOCS = 5
-#: Distinct words of one training document beyond which those of least hash are kept (scoring has no such bound).
-SAMPLE_WORDS = 4_000
 L1, RIDGE, COUNTERFACTUAL, ROUNDS = 1.5e-3, 1e-4, 5.0, 300
 THRESHOLD = 0.3
 CACHE = 500_000
-#: Identity terms, swapped within a row. Fixed values.
+#: Identity terms in English, German, French and Spanish, swapped within a row. Fixed values.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -47,6 +47,30 @@ IDENTITIES = (
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("disabled", "blind", "deaf", "autistic"),
     ("old", "young", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("behinderte", "blinde", "gehörlose", "autisten"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapés", "aveugles", "sourds", "autistes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitados", "ciegos", "sordos", "autistas"),
 )
 
 
@@ -61,8 +85,11 @@ def words_of(text: bytes | None) -> set[bytes]:
 @lru_cache(maxsize=1)
 def swaps() -> dict[int, list[int]]:
     """Hash of each identity term to those of the others in its row."""
-    rows = [[word_hash(w.encode()) for w in row] for row in IDENTITIES]
-    return {h: [o for o in row if o != h] for row in rows for h in row}
+    out: dict[int, list[int]] = {}
+    for row in ([word_hash(w.encode()) for w in row] for row in IDENTITIES):
+        for h in row:
+            out.setdefault(h, []).extend(o for o in row if o != h and o not in out.get(h, ()))
+    return out
 
 
 def held_out() -> Column:
@@ -72,16 +99,18 @@ def held_out() -> Column:
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[int]]]:
     """(label, word hashes) of the training documents."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")).filter(~held_out())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE_DOCS)
+    order = [F.xxhash64("doc_id"), "doc_id", "y"]
+    chosen = usable.orderBy(*order).limit(SAMPLE_DOCS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            words = [sorted(map(word_hash, words_of(t)))[:SAMPLE_WORDS] for t in as_bytes(batch.column(0))]
+            words = [sorted(map(word_hash, words_of(t))) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.list_(pa.int64()))], names=["y", "words"])
 
-    # at most SAMPLE_DOCS ids; the rows collected are bounded by the sample's parameters
-    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), run, "y int, words array<long>")
-    table = rows.limit(2 * SAMPLE_DOCS).toArrow()
+    # at most SAMPLE_DOCS ids; where documents repeat, at most so many rows again
+    texts = docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text")
+    met = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(SAMPLE_DOCS)
+    table = map_arrow(met.select("text", "y"), run, "y int, words array<long>").toArrow()
     return [(y, w) for y, w in zip(table.column("y").to_pylist(), table.column("words").combine_chunks(), strict=True)] if table.num_rows else []
 
 
