@@ -2,16 +2,18 @@
 
 Each file holds a run of documents in ascending ``doc_id``. Its ids form a wavelet matrix: for
 every bit of an id, from the highest, one plane of bits in the order left by stably moving the
-zeros of the planes above in front of the ones. Planes are compressed one by one; a directory of
-bit counts (one per 64-bit word) is rebuilt on loading and gives rank in constant time, from which follow
-access, counting and select. Files are binary records of a Parquet table in the shared folder,
-so that Spark's writers commit them and any of its stores can hold them.
-
-Format, little endian: ``LSWM``, u8 bits, u8 null flags (1: some doc_id is null), u64 documents, u64 ids,
-documents x i64 doc_id, documents x u8 null flag if flagged, documents x u32 number of ids, then for each plane u64 zeros, u64 size and that many bytes (zstd).
-
-Defined cases: null text is empty (its document holds the end id alone); rows of equal doc_id are
-ordered by text; a null doc_id comes first; an empty table gives an empty result.
+zeros of the planes above in front of the ones. A plane is kept as 64-bit words, with a directory of the
+ones before each group of ``GROUP`` words, so rank takes one look-up and a few bit counts, from which follow
+access, counting, select and the places of an id: all on the bytes of the file, without unpacking it. Files are binary records of a
+Parquet table in the shared folder, so that Spark's writers commit and compress them and any of its stores can hold them.
+
+Format, little endian, each part padded to 8 bytes: ``LSWM``, u8 bits, u8 null flags (1: some doc_id is null), u64 documents, u64 ids,
+documents x i64 doc_id, documents x u8 null flag if flagged, documents x u32 number of ids, then for each plane u64 zeros, its words (u64, one more than needed)
+and its directory (u32, groups and one more).
+
+Defined cases: null text is empty (its document holds the end id alone); doc_id is read as a long; rows of equal doc_id are
+ordered by the text's hash, then text; a null doc_id comes first; texts may be of any length; other columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,60 +46,58 @@ ODD = re.compile("[\x1c-\x1f\u0130\u0180-\u200f\u2028-\u202f\u205f-\u209f\u20c0-
 #: Letters and digits among the characters of all other texts, in lower case; the pattern is the pre-tokenizer's over them.
 LETTERS, DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
-_HEAD = struct.Struct("<4sBBQQ")
+#: Words of 64 bits for one entry of a plane's directory.
+GROUP = 8
+_HEAD = struct.Struct("<4sBBxxQQ")
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        """planes: packed bits of each level, highest bit first; zeros: their numbers of zero bits."""
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._words: list[tuple[np.ndarray, np.ndarray]] | None = None
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], before: list[np.ndarray] | None = None, group: int = GROUP):
+        """planes: 64-bit words of each level, highest bit first; zeros: their numbers of zero bits; before: their directories, by ``group`` words."""
+        self.n, self.planes, self.zeros, self.group = n, planes, zeros, group
+        self.before = before if before is not None else [directory(p, group) for p in planes]
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, bits: int, group: int = GROUP) -> WaveletMatrix:
         planes, zeros = [], []
         ids, spare = ids.copy(), np.empty_like(ids)
         for k in range(bits - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << k)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            words = np.zeros(width(len(ids)), "<u8")
+            words.view(np.uint8)[: (len(ids) + 7) // 8] = np.packbits(ones, bitorder="little")
+            planes.append(words)
             zeros.append(len(ids) - int(np.count_nonzero(ones)))
             ids.compress(~ones, out=spare[: zeros[-1]])
             ids.compress(ones, out=spare[zeros[-1] :])
             ids, spare = spare, ids
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, group=group)
 
     def decode(self, dtype: type = np.uint16) -> np.ndarray:
         """All ids in order, undoing the planes from the lowest bit."""
         ids, spare = np.zeros(self.n, dtype), np.empty(self.n, dtype)
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(plane.view(np.uint8), count=self.n, bitorder="little").view(bool)
             ids[zeros:] |= dtype(1 << k)
             spare[np.flatnonzero(~ones)] = ids[:zeros]
             spare[np.flatnonzero(ones)] = ids[zeros:]
             ids, spare = spare, ids
         return ids
 
-    def _directory(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        if self._words is None:
-            self._words = []
-            for plane in self.planes:
-                words = np.zeros((self.n >> 6) + 1, "<u8")
-                words.view(np.uint8)[: len(plane)] = plane
-                self._words.append((words, np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])))
-        return self._words
-
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before the positions ``at``."""
-        words, before = self._directory()[level]
-        word = at >> 6
-        return before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        words, word = self.planes[level], at >> 6
+        inside = word % self.group
+        out = self.before[level][word // self.group].astype(np.int64)
+        for k in range(self.group - 1):
+            out += np.where(inside > k, np.bitwise_count(words[word - inside + np.minimum(k, inside)]), 0)
+        return out + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
 
     def access(self, at: np.ndarray) -> np.ndarray:
+        """The ids at the positions ``at``."""
         at = np.asarray(at, np.int64)
         out = np.zeros(at.shape, np.int64)
         for level, zeros in enumerate(self.zeros):
-            words, _ = self._directory()[level]
-            one = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            one = (self.planes[level][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             ones = self._ones(level, at)
             at = np.where(one, zeros + ones, at - ones)
             out = out << 1 | one
@@ -134,40 +133,60 @@ class WaveletMatrix:
         return low
 
 
+    def places(self, symbol: int) -> list[int]:
+        """All positions of ``symbol``."""
+        return [self.select(symbol, k) for k in range(self.count(symbol))]
+
+
+def width(n: int) -> int:
+    """Words of a plane of n bits: whole groups, and a place after the last bit."""
+    return ((n >> 6) // GROUP + 1) * GROUP
+
+
+def directory(words: np.ndarray, group: int = GROUP) -> np.ndarray:
+    """Ones before each group of a plane's words."""
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(words).reshape(-1, group).sum(axis=1))]).astype("<u4")
+
+
+def padded(data: bytes) -> bytes:
+    return data + bytes(-len(data) % 8)
+
+
 def to_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-    matrix, press = WaveletMatrix.build(ids, bits), zstandard.ZstdCompressor(level=1)
+    matrix = WaveletMatrix.build(ids, bits)
     flagged = any(d is None for d in doc_ids)
     out = [_HEAD.pack(b"LSWM", bits, flagged, len(doc_ids), len(ids)), np.array([d or 0 for d in doc_ids], "<i8").tobytes()]
     if flagged:
         out.append(bytes(d is None for d in doc_ids))
     out.append(np.array(lengths, "<u4").tobytes())
-    for plane, zeros in zip(matrix.planes, matrix.zeros, strict=True):
-        packed = press.compress(plane.tobytes())
-        out += [struct.pack("<QQ", zeros, len(packed)), packed]
-    return b"".join(out)
+    for plane, zeros, before in zip(matrix.planes, matrix.zeros, matrix.before, strict=True):
+        out += [struct.pack("<Q", zeros), plane.tobytes(), before.tobytes()]
+    return b"".join(map(padded, out))
 
 
 def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """The documents' ids, their numbers of token ids, and the matrix of all token ids."""
+    """The documents' ids, their numbers of token ids, and the matrix of all token ids, on the bytes of the file."""
     magic, bits, flagged, docs, n = _HEAD.unpack_from(data)
     if magic != b"LSWM":
         raise ValueError("not a wavelet matrix file")
     at = _HEAD.size
-    doc_ids: list[int | None] = np.frombuffer(data, "<i8", docs, at).tolist()
-    at += 8 * docs
+
+    def part(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, count, at)
+        at += -(-out.nbytes // 8) * 8
+        return out
+
+    doc_ids: list[int | None] = part("<i8", docs).tolist()
     if flagged:
-        doc_ids = [None if x else d for d, x in zip(doc_ids, data[at : at + docs], strict=True)]
-        at += docs
-    lengths = np.frombuffer(data, "<u4", docs, at).astype(np.int64)
-    at += 4 * docs
-    planes, zeros, unpress = [], [], zstandard.ZstdDecompressor()
+        doc_ids = [None if x else d for d, x in zip(doc_ids, part("u1", docs).tolist(), strict=True)]
+    lengths = part("<u4", docs).astype(np.int64)
+    zeros, planes, before = [], [], []
     for _ in range(bits):
-        z, size = struct.unpack_from("<QQ", data, at)
-        at += 16
-        planes.append(np.frombuffer(unpress.decompress(data[at : at + size], max_output_size=(n + 7) // 8 or 1) if size else b"", np.uint8))
-        zeros.append(z)
-        at += size
-    return doc_ids, lengths, WaveletMatrix(n, planes, zeros)
+        zeros.append(int(part("<u8", 1)[0]))
+        planes.append(part("<u8", width(n)))
+        before.append(part("<u4", width(n) // GROUP + 1))
+    return doc_ids, lengths, WaveletMatrix(n, planes, zeros, before)
 
 
 class WordEncoder:
@@ -232,7 +251,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
     path = path or public_tokenizers.path("word_bpe_49k.json")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     key = F.xxhash64("text")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", key).repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "text").drop("_tie")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_tie", key).repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
