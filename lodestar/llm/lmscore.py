@@ -14,7 +14,8 @@ in the order in which the keys came. What comes to the driver are four numbers:
 target and of all documents, and distinct words.
 
 Defined cases: null text has no words, and a document without words has null entropies; repeated
-rows count and are scored each; an empty target leaves its model uniform; an empty table gives an empty result.
+rows count and are scored each; a document longer than a chunk is a chunk of its own; other columns, whatever their names, are ignored;
+an empty target leaves its model uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ junk, so one above the least of those merged sketches is lowered to that, or to
 the floor where this is higher. The thresholds are joined back and documents beyond any of them go.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source
-counts as an empty string; repeated rows are judged each on their own; an empty table gives an empty result.
+counts as an empty string; a value that ties with its threshold passes; repeated rows are judged each on their own; texts may be of any length; other
+columns, whatever their names, are ignored or, by ``quality_filter``, kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ the queries are answered by intersecting and uniting postings, and the regular e
 over the candidates only. Rules without a mandatory trigram run over every text. Index and
 queries are folded to lower-case ASCII, which can only add candidates.
 
-Defined cases: null text is empty and has no spans; spans are in code points, end exclusive;
-repeated rows are scanned each; an empty table gives an empty result.
+Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; spans of equal start go in the order of the rules;
+repeated rows are scanned each; texts and secrets may be of any length; other columns, whatever their names, are ignored or, by ``redact``,
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
