@@ -66,7 +66,8 @@ class Engine:
     fetch_url = fetch_urls
 
     def parse_document(self, files: DataFrame, max_chars: int = 120_000, sheet: str | None = None, **names: str) -> DataFrame:
-        out = office.parse_documents(files, **names)
+        # one sheet may begin anywhere, so the cut comes after it is chosen
+        out = office.parse_documents(files, max_chars=(1 << 31) - 1 if sheet else max_chars, **names)
         body = office.one_sheet(F.col("document.markdown"), sheet) if sheet else F.col("document.markdown")
         return out.withColumn("markdown", F.substr(body, F.lit(1), F.lit(max_chars)))
 

@@ -63,6 +63,18 @@ def registrable_domain(host: Column) -> Column:
     return F.when(F.size(labels) <= 2, F.array_join(labels, ".")).when(two.isin(*SUFFIXES), three).otherwise(two)
 
 
+def dotted(host: Column) -> Column:
+    """A numeric IPv4 address (one to four decimal, octal or hexadecimal numbers, the last of which fills what is left) in four decimal parts; other hosts as they are."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
+    value = lambda x: F.when(x.rlike("^0x"), F.conv(F.concat(F.lit("0"), F.substr(x, F.lit(3))), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).otherwise(x).try_cast("decimal(20,0)").try_cast("long")
+    numbers = F.transform(parts, value)
+    last, n = F.element_at(numbers, -1), F.size(numbers)
+    whole = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda a, x: a * 256 + x) * F.pow(F.lit(256.0), F.lit(5) - n).cast("long") + last
+    right = F.forall(numbers, lambda x: x.isNotNull()) & F.forall(F.slice(numbers, 1, n - 1), lambda x: x < 256) & (last < F.pow(F.lit(256.0), F.lit(5) - n))
+    said = F.concat_ws(".", *[F.shiftright(whole, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+    return F.when(host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,3}\.?$") & right, said).otherwise(host)
+
+
 def bound(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the column evaluated once: later filters and projections on it don't copy its expression down the plan."""
     kept = [F.col(f"`{c}`") for c in df.columns if c != name]
@@ -80,7 +92,7 @@ def with_url(df: DataFrame, source: str = "url", into: str = "u") -> DataFrame:
     s3 = s2.withColumn("_way", F.replace(F.substring_index("_rest", "?", 1), F.lit("\\"), F.lit("/"))).withColumn("_query", F.when(F.instr("_rest", "?") > 0, F.expr("substr(_rest, instr(_rest, '?') + 1)")).otherwise(F.lit("")))
     s4 = s3.withColumn("_auth", F.regexp_replace(F.substring_index("_way", "/", 1), "^.*@", "")).withColumn("_path0", F.expr("substr(_way, length(substring_index(_way, '/', 1)) + 1)"))
     host = F.regexp_replace(F.lower(F.regexp_replace("_auth", ":[0-9]*$", "")), r"^www\.", "")
-    s5 = s4.withColumn("_host", host).withColumn("_port", F.regexp_replace(F.regexp_extract("_auth", ":([0-9]+)$", 1), "^0+(?=[0-9])", ""))
+    s5 = s4.withColumn("_host", dotted(host)).withColumn("_port", F.regexp_replace(F.regexp_extract("_auth", ":([0-9]+)$", 1), "^0+(?=[0-9])", ""))
     walked = F.expr(
         "aggregate(split(_path0, '/', -1), array(''), (a, x) -> CASE WHEN x IN ('.', '%2e', '%2E') THEN a WHEN x = '..' THEN slice(a, 1, greatest(size(a) - 1, 1)) ELSE concat(a, array(x)) END)"
     )
@@ -181,7 +193,7 @@ def absolute_url(href: Column, base: Column) -> Column:
 
 def is_private_host(host: Column) -> Column:
     """Loopback, link-local and private addresses and names."""
-    h = F.regexp_replace(F.lower(host), r"^\[|\]$", "")
+    h = dotted(F.regexp_replace(F.lower(host), r"^\[|\]$", ""))
     return h.rlike(r"^(localhost|::1|0\.0\.0\.0)$|\.(localhost|local|internal)$|^127\.|^10\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^f[cd][0-9a-f]{2}:|^fe80:")
 
 

@@ -62,18 +62,19 @@ def keep_newest(puts: DataFrame, most: int = 200, key: str = "url", seq: str = "
     return last.orderBy(F.desc(seq)).limit(most)
 
 
-def count_terms(pages: DataFrame, queries: DataFrame) -> DataFrame:
+def count_terms(pages: DataFrame, queries: DataFrame, block: int = 2_000) -> DataFrame:
     """Plain search without an index: per query and page the number of its distinct terms (array ``terms``) that occur.
 
-    Queries are a stated set, so they are spread over the terms' explosion and every page is read once."""
+    Queries are a stated set: their terms are gathered on the executors into rows of at most about ``block``, and each page meets each row once, with
+    what it holds of it as the only output."""
     hay = F.lower(F.concat_ws(" ", "title", "content"))
     terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    known = [(r.query_id, r.term) for r in terms.limit(10_000).collect()]
-    if len(known) == 10_000:
-        raise ValueError("too many query terms for a search without an index")
-    want = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(t).alias("term")) for q, t in known])
-    found = pages.select("doc_id", hay.alias("hay")).select("doc_id", F.explode(F.filter(want, lambda x: F.contains(F.col("hay"), x.term))).alias("x"))
-    return found.groupBy("x.query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    of_term = terms.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
+    parts = max(1, -(-of_term.count() // block))
+    wanted = of_term.groupBy(F.pmod(F.xxhash64("term"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("term", "queries")).alias("want")).select("want")
+    found = pages.select("doc_id", hay.alias("hay")).join(wanted, F.exists("want", lambda x: F.contains(F.col("hay"), x.term)))
+    hit = found.select("doc_id", F.explode(F.filter("want", lambda x: F.contains(F.col("hay"), x.term))).alias("x"))
+    return hit.select("doc_id", F.explode("x.queries").alias("query_id")).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
 
 
 def page_row(payload: Column) -> Column:

@@ -185,12 +185,12 @@ def rewrite_urls(rankings: DataFrame) -> DataFrame:
 
 
 def merge_lists(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two lists of one answer (key, pos, title, snippet, published_at), some tens of rows: those of the first, their gaps filled from the second, then the rest of the second."""
+    """Two lists for each query (query_id, key, pos, title, snippet, published_at): those of the first, their gaps filled from the second, then the rest of the second."""
     a, b = first.alias("a"), second.alias("b")
-    both = a.join(b, "key", "full_outer")
+    both = a.join(b, ["query_id", "key"], "full_outer")
     text_of = lambda c: F.when(F.coalesce(F.col(f"a.{c}"), F.lit("")) != "", F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
-    joined = both.select("key", F.col("a.pos").isNull().alias("_late"), F.coalesce("a.pos", "b.pos").alias("_pos"), text_of("title"), text_of("snippet"), F.coalesce("a.published_at", "b.published_at").alias("published_at"))
-    return joined.withColumn("pos", F.row_number().over(Window.orderBy("_late", "_pos"))).drop("_late", "_pos")
+    joined = both.select("query_id", "key", F.col("a.pos").isNull().alias("_late"), F.coalesce("a.pos", "b.pos").alias("_pos"), text_of("title"), text_of("snippet"), F.coalesce("a.published_at", "b.published_at").alias("published_at"))
+    return joined.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("_late", "_pos"))).drop("_late", "_pos")
 
 
 def fill_dates(results: DataFrame, dates: DataFrame) -> DataFrame:

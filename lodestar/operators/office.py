@@ -405,17 +405,24 @@ def parse(data: bytes | None, kind: str, most: int = 120_000) -> dict:
 DOCUMENT = T.StructType([T.StructField("markdown", T.StringType()), T.StructField("title", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("sheets", T.ArrayType(T.StringType())), T.StructField("slides", T.IntegerType())])
 
 
-@F.pandas_udf(DOCUMENT)
-def document(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
-    """struct<markdown, title, kind, ...> of a document's bytes."""
-    out = pd.DataFrame([parse(d, k) for d, k in zip(data, kind, strict=True)], columns=[f.name for f in DOCUMENT])
-    return out.astype({"slides": "Int32"})
+def document_of(most: int):
+    """A function of a document's bytes and kind: struct<markdown, title, kind, ...>, with at most so many characters."""
 
+    @F.pandas_udf(DOCUMENT)
+    def read(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([parse(d, k, most) for d, k in zip(data, kind, strict=True)], columns=[f.name for f in DOCUMENT])
+        return out.astype({"slides": "Int32"})
 
-def parse_documents(files: DataFrame, content: str = "content", name: str = "path", content_type: str | None = None) -> DataFrame:
-    """Binary rows with a struct ``document``."""
+    return read
+
+
+document = document_of(120_000)
+
+
+def parse_documents(files: DataFrame, content: str = "content", name: str = "path", content_type: str | None = None, max_chars: int = 120_000) -> DataFrame:
+    """Binary rows with a struct ``document`` of at most ``max_chars`` characters."""
     kind = kind_of(F.col(content_type) if content_type else F.lit(None).cast("string"), F.col(name))
-    return files.withColumn("document", document(F.col(content), kind))
+    return files.withColumn("document", document_of(max_chars)(F.col(content), kind))
 
 
 def read_files(spark, path: str, max_bytes: int = 100_000_000) -> DataFrame:

@@ -22,7 +22,7 @@ def _listed(tier: str, order: int, ids: tuple[str, ...]) -> list[tuple]:
 def plan(queries: DataFrame, config: Config | None = None, engines: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     """The plan of each query (query_id, query[, region, language]). Named engines run alone, in the order given; ``all`` names every one."""
     c = config or Config()
-    named = tuple(e for e in engines if e and e != "auto")
+    named = tuple(dict.fromkeys(e for e in engines if e and e != "auto"))
     if every or "all" in named:
         rows = _listed("all", 0, registry.IDS)
     elif named:

@@ -17,14 +17,18 @@ def title_of(html: str = "html"):
     return F.trim(F.regexp_extract(F.col(html), r"(?s)<title>(.*?)</title>", 1))
 
 
-def rankings(spark: SparkSession, sf_dir: str, depth: int = 8) -> DataFrame:
-    """Three ranked lists for each of 20 queries, made from the pages: by number, by length and by address."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 20).alias("query_id"), F.length("html").alias("n"), title_of().alias("title"))
+#: Pages that one query finds; the queries grow with the table.
+PER_QUERY = 25
+
+
+def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ranked lists for each query, made from all pages, ``PER_QUERY`` to a query: by number, by length and by address."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"page_id div {PER_QUERY}").alias("query_id"), F.length("html").alias("n"), title_of().alias("title"))
     orders = {"a": (0, 1.0, ["page_id"]), "b": (1, 0.9, [F.desc("n"), "page_id"]), "c": (2, 0.8, ["url", "page_id"])}
     lists = []
     for engine, (place, weight, order) in orders.items():
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-        lists.append(pages.select("query_id", F.lit(engine).alias("engine"), F.lit(place).alias("engine_ord"), F.lit(weight).alias("weight"), rank.alias("rank"), "title", "url", F.concat(F.lit(f"{engine}: "), F.col("title")).alias("snippet"), F.timestamp_seconds(F.col("page_id") * 3600 + 1_700_000_000).alias("published_at")).filter(F.col("rank") <= depth))
+        lists.append(pages.select("query_id", F.lit(engine).alias("engine"), F.lit(place).alias("engine_ord"), F.lit(weight).alias("weight"), rank.alias("rank"), "title", "url", F.concat(F.lit(f"{engine}: "), F.col("title")).alias("snippet"), F.timestamp_seconds(F.col("page_id") * 3600 + 1_700_000_000).alias("published_at")))
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
 
 
@@ -55,11 +59,11 @@ def domain_sql(column: str) -> str:
     return f"regexp_extract({host_sql(column)}, '([^.]+\\.[^.]+)$', 1)"
 
 
-def rankings_sql(depth: int = 8) -> str:
-    base = f"select page_id, url, page_id % 20 as query_id, length(html) as n, {TITLE} as title from pages"
+def rankings_sql() -> str:
+    base = f"select page_id, url, page_id // {PER_QUERY} as query_id, length(html) as n, {TITLE} as title from pages"
     one = lambda e, i, w, order: f"select query_id, '{e}' as engine, {i} as engine_ord, {w}::double as weight, row_number() over (partition by query_id order by {order}) as rank, title, url, '{e}: ' || title as snippet, page_id * 3600 + 1700000000 as published from p"
     lists = " union all ".join((one("a", 0, 1.0, "page_id"), one("b", 1, 0.9, "n desc, page_id"), one("c", 2, 0.8, "url, page_id")))
-    return f"p as ({base}), raw as (select *, {key_sql('url')} as key, {host_sql('url')} as host, {domain_sql('url')} as domain from ({lists}) where rank <= {depth}), r as (select * from (select *, row_number() over (partition by query_id, engine, key order by rank) as n from raw) where n = 1)"
+    return f"p as ({base}), raw as (select *, {key_sql('url')} as key, {host_sql('url')} as host, {domain_sql('url')} as domain from ({lists})), r as (select * from (select *, row_number() over (partition by query_id, engine, key order by rank) as n from raw) where n = 1)"
 
 
 def fused_sql(bonus: float = 0.12, factor: str = "1") -> str:

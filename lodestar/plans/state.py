@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import dates, policy, text
 from lodestar.operators import cache, html, office, render
+from lodestar.session import shared_folder
 from lodestar.sources import payloads, registry
 from lodestar.streaming import breaker
 
@@ -135,15 +137,15 @@ def engine_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("breaker_stream", f"with {_FOLD} select * from st")
 def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     """The breaker as a stream over the events' files, all that are there; the last state of each engine."""
-    name = "lodestar_breaker"
+    out = f"{shared_folder(spark)}/lodestar-breaker-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     base = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/[e]vents.parquet")
     error = F.when(F.col("event_id") % 5 == 0, "HTTP 429 (rate limited)").when(F.col("event_id") % 5 == 1, "ECONNREFUSED 10.0.0.1").otherwise("read timeout")
     rows = base.select(F.element_at(F.array(*[F.lit(e) for e in registry.IDS]), (F.col("user_id") % 24 + 1).cast("int")).alias("engine"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", (F.col("user_id") % 10).cast("long")).otherwise(F.lit(0)).alias("results"), F.col("value").alias("latency_ms"), F.when(F.col("event_type") == "error", error).alias("error"))
-    stream = breaker.stream(rows).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    last = cache.latest(spark.table(name), ["engine"], [F.col("total_calls")])
-    return last.select("engine", "consecutive_failures", "benched_until_us", "total_calls", "total_failures", "total_results")
+    states = breaker.stream(rows)
+    put = breaker.upsert_sink(f"{out}/state", ["engine"], "total_calls")
+    states.writeStream.foreachBatch(put).option("checkpointLocation", f"{out}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return breaker.read_sink(spark, f"{out}/state", states.schema).select("engine", "consecutive_failures", "benched_until_us", "total_calls", "total_failures", "total_results")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

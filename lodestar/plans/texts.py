@@ -165,37 +165,29 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     return index.search(index.build(docs), queries)
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return docs.join(F.broadcast(_asked_few(spark, d)), F.pmod("doc_id", F.lit(4)) == F.col("query_id"))
-
-
-def _asked_few(spark: SparkSession, d: str) -> DataFrame:
-    """The terms of the first four queries; document n is asked query n mod 4."""
-    return asked(spark, d).filter("query_id < 4").select("query_id", F.split("query", " ").alias("terms"))
+def _holding(spark: SparkSession, d: str) -> DataFrame:
+    """Every query with every document that holds one of its terms, as the scores count them: anywhere in the lower-cased text."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lower("text").alias("low"))
+    queries = asked(spark, d).select("query_id", F.split("query", " ").alias("terms"))
+    return docs.join(F.broadcast(queries), F.exists("terms", lambda t: (t != "") & F.contains("low", t))).drop("low")
 
 
 @query(
     "passage_scores",
-    f"""with {ASKED}, fq as (select query_id, list(term order by i) as terms from (select query_id, term, row_number() over () as i from asked) where query_id < 4 group by 1),
-b as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as n from documents),
-l as (select doc_id, n, trim(line) as b, lower(trim(line)) as low, terms from b join fq on doc_id % 4 = query_id where trim(line) <> ''),
+    f"""with {ASKED}, fq as (select query_id, list(term order by i) as terms from (select query_id, term, row_number() over () as i from asked) group by 1),
+ld as (select doc_id, text, lower(text) as low from documents), hold as (select doc_id, query_id, terms, text from ld join fq on len(list_filter(terms, lambda t: contains(low, t))) > 0),
+b as (select doc_id, query_id, terms, unnest(string_split(text, chr(10))) as line from hold),
+l as (select doc_id, query_id, trim(line) as b, lower(trim(line)) as low, terms from b where trim(line) <> ''),
 c as (select *, greatest(len(regexp_split_to_array(low, '\\s+')), 1) as words, list_transform(terms, lambda t: least((length(low) - length(replace(low, t, ''))) // length(t), 6)) as hits from l),
 s as (select *, (len(list_filter(hits, lambda x: x > 0)) / len(terms) * 3.2 + least(list_sum(hits) / sqrt(words), 3.0) * 0.5 + case when regexp_matches(b, '^#{{1,6}}\\s') then 0.7 else 0 end + case when regexp_matches(b, '^(\\s*[-*+]|\\s*[0-9]+\\.)\\s') then 0.25 else 0 end + case when regexp_matches(b, '[0-9]') then 0.15 else 0 end)
   * least(1.0, words / 25) * case when words > 400 then 0.6 else 1.0 end + case when length(array_to_string(terms, ' ')) > 8 and contains(low, array_to_string(terms, ' ')) then 1.6 else 0 end as score from c)
-select doc_id, count(*) as blocks, round(sum(score), 4) as total, round(max(score), 4) as best from s group by 1""",
+select doc_id, query_id, count(*) as blocks, round(sum(score), 3) as total, round(max(score), 3) as best from s group by 1, 2""",
 )
 def passage_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).select("doc_id", "terms", F.explode(F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("b"))
-    scored = rows.select("doc_id", text.score_block(F.col("b"), F.col("terms")).alias("score"))
-    return scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 4).alias("best"))
-
-
-def _holding(spark: SparkSession, d: str) -> DataFrame:
-    """Every query with every document that holds one of its terms, as the scores count them: anywhere in the lower-cased text."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lower("text").alias("low"))
-    queries = asked(spark, d).select("query_id", F.split("query", " ").alias("terms"))
-    return docs.join(F.broadcast(queries), F.exists("terms", lambda t: (t != "") & F.contains("low", t))).drop("low")
+    """Every query's scores of the lines of every document that holds one of its terms."""
+    rows = _holding(spark, d).select("doc_id", "query_id", "terms", F.explode(F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("b"))
+    scored = rows.select("doc_id", "query_id", text.score_block(F.col("b"), F.col("terms")).alias("score"))
+    return scored.groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 3).alias("best"))
 
 
 @query("passages_selected")
@@ -241,11 +233,11 @@ def choose_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "absorb_queries",
-    f"with {_TOPICS}, a as (select query_id % 5 as root, query_id // 5 as so, * exclude (query_id) from top) select root as query_id, url, max(score) as score, arg_max(snippet, length(snippet) * 1000000000 - so * 1000000 - p) as snippet, arg_min(title, so * 1000000 + p) as title from a group by 1, 2",
+    f"with {_TOPICS}, a as (select query_id // 5 as root, query_id % 5 as so, * exclude (query_id) from top) select root as query_id, url, max(score) as score, arg_max(snippet, length(snippet) * 1000000000 - so * 1000000 - p) as snippet, arg_min(title, so * 1000000 + p) as title from a group by 1, 2",
 )
 def absorb_queries(spark: SparkSession, d: str) -> DataFrame:
     _, found = topics(spark, d)
-    both = found.withColumn("search_ord", F.floor(F.col("query_id") / 5)).withColumn("query_id", F.col("query_id") % 5)
+    both = found.withColumn("search_ord", F.col("query_id") % 5).withColumn("query_id", F.expr("query_id div 5"))
     return research.absorb(both).select("query_id", "url", "score", "snippet", "title")
 
 

