@@ -40,6 +40,8 @@ MIX = 0.7
 SMOOTHING = 0.5
 #: Tokens after which a chunk is closed; a longer document is a chunk of its own.
 CHUNK_TOKENS = 3_000_000
+#: Most target documents that are broadcast: some 20 MB where doc_id is a long.
+BROADCAST_IDS = 500_000
 #: Bytes of text for one bucket, of whose keys some 100,000 to 500,000 are different.
 BUCKET_BYTES = 4_000_000
 #: Rows: a document, the hashes of a chunk's words, keys of a chunk in a bucket, a bucket's sums.
@@ -147,11 +149,12 @@ def filled(schema: pa.Schema, rows: int, /, **columns) -> pa.RecordBatch:
 
 
 def chunks(docs: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
-    """Documents and keys of all chunks. The join is by sorting at every size, as target lists grow with the corpus.
+    """Documents and keys of all chunks. A target of at most BROADCAST_IDS documents is broadcast, so that texts stay where they are; a larger one is joined by sorting.
 
     Rows are sorted within their partition and chunks numbered in it, so a task that runs again makes the same chunks."""
-    listed = target.select("doc_id").filter("doc_id is not null").distinct().withColumn("hit", F.lit(True))
-    marked = docs.select("doc_id", "text").join(listed.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+    listed = written(target.select("doc_id").filter("doc_id is not null").distinct().withColumn("hit", F.lit(True)), "lm-target")
+    way = "broadcast" if listed.count() <= BROADCAST_IDS else "merge"
+    marked = docs.select("doc_id", "text").join(listed.hint(way), "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
     kinds = {"chunk": T.LongType(), "kind": T.IntegerType(), "bucket": T.IntegerType(), "doc_id": docs.schema["doc_id"].dataType, "hit": T.BooleanType(), "n": T.LongType(), "words": T.LongType(), "size": T.LongType(), "data": T.BinaryType(), **{c: T.BinaryType() for c in ("t", "b", "t_last", "b_last")}}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,9 +202,10 @@ def test_lm_scores(spark, docs, rows):
     assert found[300].n_tokens == 0 and found[300].difference is None
 
 
-@pytest.mark.parametrize("bucket", [4_000_000, 1_000])
-def test_lm_scores_tell_all_words_and_pairs_apart(spark, bucket, monkeypatch):
-    monkeypatch.setattr(lmscore, "BUCKET_BYTES", bucket, raising=False)
+@pytest.mark.parametrize(("bucket", "ids"), [(4_000_000, 500_000), (1_000, 0)])
+def test_lm_scores_tell_all_words_and_pairs_apart(spark, bucket, ids, monkeypatch):
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(lmscore, "BROADCAST_IDS", ids)
     words = [f"w{i}" for i in range(40_000)]
     texts = [words[i : i + 500] for i in range(0, 40_000, 500)] + [words[i : i + 900 : 3] for i in range(0, 39_000, 600)]
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
