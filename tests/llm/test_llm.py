@@ -461,6 +461,35 @@ def test_toxicity_counterfactual():
     assert weights[h["vile"]] > 2 and swapped < 0.5 * weights[h["vile"]]
 
 
+def test_toxicity_fit_is_the_least_of_its_loss():
+    """The weights of the chosen words are where the loss, written out document by document and swap by swap, is least."""
+    own = random.Random(11)
+    h = {w: toxicity.word_hash(w.encode()) for w in ("women", "men", "girls", "vile", "foul", *VOCAB)}
+    rows = []
+    for i in range(300):
+        y = int(i % 4 == 0)
+        rows.append((y, sorted({h[own.choice(VOCAB)], h[own.choice(VOCAB)], *([h["vile"]] if own.random() < (0.7 if y else 0.05) else []), *([h["foul"]] if own.random() < (0.5 if y else 0.1) else []), *([h["women"]] if own.random() < (0.6 if y else 0.2) else []), *([h["men"]] if own.random() < 0.2 else [])})))
+    bias, weights = toxicity.train(rows)
+    words = sorted(weights)
+
+    def loss(x):
+        w, out = dict(zip(words, x)), 0.0
+        for y, said in rows:
+            z = x[-1] + sum(w.get(k, 0.0) for k in said)
+            out += np.log1p(np.exp(-z if y else z)) / len(rows)
+            for term in said:  # read again with each other term of its row
+                for other in toxicity.swaps().get(term, ()):
+                    out += toxicity.COUNTERFACTUAL * (w.get(other, 0.0) - w.get(term, 0.0)) ** 2 / len(rows)
+        return out + toxicity.RIDGE / 2 * sum(v * v for v in x[:-1])
+
+    fit = np.array([*(weights[k] for k in words), bias])
+    assert h["vile"] in weights
+    for i in range(len(fit)):
+        step = np.zeros(len(fit))
+        step[i] = 1e-4
+        assert abs(loss(fit + step) - loss(fit - step)) / 2e-4 < 1e-4
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 PIECES = st.lists(st.sampled_from(["a", "b.c", "@", "x.y", ".", "-", "+", "1", "22", "255", "300", "4111 1111 1111 1111", "(", ")", " ", "\n", "é", "+1 (743) 555-3824", "10.0.0.1", "%"]), max_size=16).map("".join)
