@@ -59,9 +59,9 @@ class Engine:
         judged = parsed.withColumn("error", error)
         done = html.pages_to_markdown(judged.withColumn("html", F.when(F.col("error").isNull(), F.col("html"))))
         body = F.col("page.markdown")
-        sliced = done.withColumn("total_chars", F.length(body)).withColumn("truncated", F.length(body) > offset + max_chars).withColumn("next_offset", F.when(F.length(body) > offset + max_chars, F.lit(offset + max_chars)))
-        content = F.substr(body, F.lit(offset + 1), F.lit(max_chars))
-        return sliced.select("url", F.when(F.col("error").isNull(), F.col("page.title")).alias("title"), F.when(F.col("error").isNull(), content).alias("content"), "truncated", "next_offset", text.count_words(content).alias("word_count"), "error", "page")
+        sliced = done.withColumn("slice", text.sliced(body, offset, max_chars))
+        content = F.col("slice.part")
+        return sliced.select("url", F.when(F.col("error").isNull(), F.col("page.title")).alias("title"), F.when(F.col("error").isNull(), content).alias("content"), "slice.truncated", "slice.next_offset", text.count_words(content).alias("word_count"), "error", "page")
 
     fetch_url = fetch_urls
 

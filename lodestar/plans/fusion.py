@@ -131,7 +131,14 @@ def title_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return fusion.dedupe_titles(fusion.fuse(rankings(spark, d))).select("query_id", "url", "title", "engines", "score", "pos")
 
 
-@query("diversify")
+@query(
+    "diversify",
+    f"""with recursive {fused_sql()}, o as (select query_id, url, source, {_PLACED} as p from f),
+walk as (select distinct query_id, 0 as n, []::bigint[] as done, []::varchar[] as recent, 0::bigint as p from o
+  union all select query_id, n + 1, list_append(done, x.p), list_append(recent, x.source)[-3:], x.p from (
+    select walk.query_id, n, done, recent, min(struct_pack(late := list_contains(recent, source), p := o.p, source := source)) as x from walk join o on o.query_id = walk.query_id and not list_contains(done, o.p) group by all))
+select walk.query_id, url, source, n::int as pos from walk join o on o.query_id = walk.query_id and o.p = walk.p""",
+)
 def diversify(spark: SparkSession, d: str) -> DataFrame:
     return fusion.diversify(_results(spark, d)).select("query_id", "url", "source", "pos")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.config import Config
 from lodestar.functions import text
 from lodestar.operators import cache, fusion, index, passages, planner, research
-from lodestar.sources import registry
+from lodestar.sources import payloads, registry
 
 from .common import TITLE, fused_sql, rankings, table, title_of
 
@@ -87,9 +87,14 @@ def collapse_spaces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(text.collapse_spaces(F.col("text"))).cast("long").alias("n"))
 
 
-@query("sentence_counts")
+@query(
+    "sentence_counts",
+    r"""with s as (select doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') as w from documents)
+select doc_id, case when w = [''] then 0 else 1 + len(list_filter(w[1:len(w) - 1], lambda x: regexp_matches(x, '[.!?。！？；;]$') and not regexp_matches(x, '(?i)(^|[^\p{L}\p{N}_])(e\.g|i\.e|vs|etc|Mr|Ms|Dr|Fig|No|al)\.$'))) end as n from s""",
+)
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
+    """No document has CJK sentences that end without a space."""
+    return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +201,16 @@ def passages_selected(spark: SparkSession, d: str) -> DataFrame:
     return passages.select_passages(rows.select("doc_id", "query_id", "content", "terms"))
 
 
-@query("snippets")
+@query(
+    "snippets",
+    f"""with {ASKED}, fq as (select query_id, list(term order by i) as terms from (select query_id, term, row_number() over () as i from asked) group by 1),
+ld as (select doc_id, lower(text) as low, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10) || chr(9) || chr(13)) as c from documents),
+h as (select doc_id, query_id, c, list_min(list_filter(list_transform(terms, lambda t: strpos(lower(c), t)), lambda i: i > 0)) as best from ld join fq on len(list_filter(terms, lambda t: contains(low, t))) > 0),
+w as (select *, greatest(0, best - 1 - 112) as start, substr(c, 1, 319) as cut from h),
+e as (select *, greatest(case when contains(cut, chr(10) || chr(10)) then length(cut) - strpos(reverse(cut), chr(10) || chr(10)) - 1 else -1 end, case when contains(cut, '. ') then length(cut) - strpos(reverse(cut), ' .') - 1 else -1 end) as stop from w)
+select doc_id, query_id, case when length(c) <= 320 then c when best is null then rtrim(case when stop > 192 then substr(cut, 1, stop + 1) else cut end, ' ' || chr(9) || chr(10) || chr(13)) || '…'
+  else case when start > 0 then '…' else '' end || trim(substr(c, start + 1, 320)) || case when start + 320 < length(c) then '…' else '' end end as snippet from e""",
+)
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return _holding(spark, d).select("doc_id", "query_id", text.make_snippet(F.col("content"), F.col("terms")).alias("snippet"))
 
@@ -302,14 +316,27 @@ def html_title_lang(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", title_of().alias("title"), F.regexp_extract("html", r'<html[^>]*lang="([^"]*)"', 1).alias("lang"))
 
 
-@query("html_to_text")
+def _text_sql() -> str:
+    """The text of pages whose entities are written in lower case."""
+    out = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+    for tag in ("script", "style", "noscript", "template"):
+        out = f"regexp_replace({out}, '<{tag}\\b.*?</{tag}\\s*>', ' ', 'gis')"
+    out = f"regexp_replace({out}, '<br\\s*/?>|</(p|div|li|tr|h[1-6]|section|article|blockquote|pre|ul|ol|table)\\s*>', chr(10), 'gi')"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    for name, char in [*list(text.ENTITIES.items())[1:], ("amp", "&")]:
+        out = f"replace({out}, '&{name};', {q([char])})"
+    out = f"regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), '\\r\\n?', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("html_to_text", f"select page_id, {_text_sql()} as text from pages")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query("page_slice", "select doc_id, substr(text, 101, 300) as part, length(text) > 400 as truncated, case when length(text) > 400 then 400 end as next_offset from documents")
 def page_slice(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.substr(F.col("text"), F.lit(101), F.lit(300)).alias("part"), (F.length("text") > 400).alias("truncated"), F.when(F.length("text") > 400, F.lit(400)).alias("next_offset"))
+    return table(spark, d, "documents").select("doc_id", text.sliced(F.col("text"), 100, 300).alias("s")).select("doc_id", "s.part", "s.truncated", "s.next_offset")
 
 
 @query("abstract_rebuild", "select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') as text from documents")
@@ -317,10 +344,4 @@ def abstract_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """Each text as an inverted index (word to places) and back."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")).alias("at", "word"))
     inverted = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
-    return inverted.select("doc_id", rebuild(F.col("index")).alias("text"))
-
-
-def rebuild(inverted):
-    """An inverted index (map of word to places) as text; the first word at a place stays."""
-    pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e.value, lambda p: F.struct(p.alias("at"), e.key.alias("word")))))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x.word), " ")
+    return inverted.select("doc_id", payloads.inverted_text(F.col("index")).alias("text"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import dates, text, url
+from lodestar.functions.base import let
 from lodestar.operators import html
 
 C = F.col
@@ -54,8 +55,8 @@ def _strip_jats(c: Column) -> Column:
 def inverted_text(index: Column) -> Column:
     """A word-to-places map as text; the first word at a place stays, places beyond 100,000 go."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e.value, lambda p: p.between(0, 100_000)), lambda p: F.struct(p.alias("at"), e.key.alias("word")))))
-    sorted_pairs = F.array_sort(pairs)
-    first = F.filter(sorted_pairs, lambda x, i: (i == 0) | (F.get(sorted_pairs, i - 1)["at"] != x["at"]))
+    # bound once: each place looks at the one before it
+    first = let(F.array_sort(pairs), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["at"] != x["at"])))
     return F.array_join(F.transform(first, lambda x: x["word"]), " ")
 
 
