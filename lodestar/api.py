@@ -37,6 +37,10 @@ class Engine:
     def web_search(self, queries: DataFrame, rankings: DataFrame, max_results: int = 12, **options: object) -> DataFrame:
         return planner.search(queries, rankings, _between(max_results, 1, 50), self.config, **options)
 
+    def refused(self, queries: DataFrame) -> DataFrame:
+        """The queries that ``web_search`` leaves out, with the reason."""
+        return planner.refusals(queries)
+
     def research(self, queries: DataFrame, rankings: DataFrame, pages: DataFrame, depth: int = 2, max_sources: int = 8, passages_per_source: int = 4, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
         """``pages`` has url (normalised) and content. Rankings of follow-up questions are those of the question they come from."""
 

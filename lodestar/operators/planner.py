@@ -50,6 +50,19 @@ def plan(queries: DataFrame, config: Config | None = None, engines: tuple[str, .
     return queries.filter(q != "").select("query_id", F.explode(known).alias("s")).select("query_id", "s.tier_ord", "s.tier", "s.engine", "s.place")
 
 
+def options(queries: DataFrame, config: Config | None = None) -> DataFrame:
+    """``queries`` with language and region bound: the query's own option, or else the configured one; the language is guessed where neither names it."""
+    c = config or Config()
+    own = lambda name: F.when(F.trim(F.col(name)) != "", F.col(name)) if name in queries.columns else F.lit(None).cast("string")
+    said = {"language": F.coalesce(own("language"), F.lit(c.language or None).cast("string"), text.guess_language(F.col("query"))), "region": F.coalesce(own("region"), F.lit(c.region or None).cast("string"))}
+    return queries.withColumns(said)
+
+
+def refusals(queries: DataFrame) -> DataFrame:
+    """(query_id, engine, error) of the queries that aren't searched: those without a character."""
+    return queries.filter(F.trim(F.coalesce("query", F.lit(""))) == "").select("query_id", F.lit("none").alias("engine"), F.lit("empty query").alias("error"))
+
+
 def available(planned: DataFrame, config: Config | None = None, benched: DataFrame | None = None) -> DataFrame:
     """The plan with ``state``: usable, skipped (benched: a table of engine) or unconfigured."""
     c = config or Config()
@@ -82,7 +95,7 @@ def search(queries: DataFrame, rankings: DataFrame, limit: int = 12, config: Con
     """Fused results per query: plan, availability, tiers, sanitising, unwrapping, fusion of twice the limit, domain filters, limit."""
     c = config or Config()
     limit = max(1, min(limit, 100))
-    planned = available(plan(queries, c, engines), c, benched).filter("state = 'usable'")
+    planned = available(plan(options(queries, c), c, engines), c, benched).filter("state = 'usable'")
     weights = F.broadcast(registry.engines(queries.sparkSession).select("engine", F.col("weight").alias("_w"), F.col("engine_ord").alias("_o")))  # 24 rows
     rows = rankings.drop("weight", "engine_ord").join(weights, "engine").withColumnRenamed("_w", "weight").withColumnRenamed("_o", "engine_ord").filter(F.col("rank") <= max(3, min(c.per_engine, 30)))
     clean = fusion.sanitise(fusion.rewrite_urls(rows).drop("wrapper_url"))

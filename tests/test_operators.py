@@ -112,6 +112,12 @@ def test_plans(spark):
     assert tiers[1, "api"] == ["stackexchange", "crates"] and (2, "api") not in tiers and not any(k[0] == 3 for k in tiers)
     keyed = planner.plan(q, Config(keys={"serper": "k", "exa": "k", "tavily": "k"})).filter("tier = 'keyed' and query_id = 1")
     assert sorted(r.engine for r in keyed.collect()) == ["serper", "tavily"]
+    asked = spark.createDataFrame([(1, "où est-ce", None), (2, "plain", "zh"), (3, " ", ""), (4, None, None)], "query_id long, query string, language string")
+    bound = {r.query_id: (r.language, r.region) for r in planner.options(asked, Config(region="cn")).collect()}
+    assert bound[1] == ("fr", "cn") and bound[2][0] == "zh" and bound[3][0] == "en"
+    assert {r.language for r in planner.options(asked, Config(language="de")).filter("query_id <> 2").collect()} == {"de"}
+    assert sorted(map(tuple, planner.refusals(asked).collect())) == [(3, "none", "empty query"), (4, "none", "empty query")]
+    assert planner.plan(asked, engines=("bing", "bing")).filter("query_id = 1").count() == 1
     assert planner.plan(q, engines=("all",)).filter("query_id = 1").count() == 24
     states = {r.engine: r.state for r in planner.available(planner.plan(q, engines=("bing", "exa", "brave", "none")).filter("query_id = 1"), Config(), spark.createDataFrame([("bing",)], "engine string")).collect()}
     assert states == {"bing": "skipped", "exa": "unconfigured", "brave": "usable"}
