@@ -55,24 +55,18 @@ def blocks(c: Column, by_line: bool = False) -> Column:
     return F.filter(F.transform(F.arrays_zip(lines.alias("text"), F.slice(starts, F.lit(1), F.size(lines)).alias("offset")), lambda x: F.struct(F.trim(x["text"]).alias("text"), x.offset.alias("offset"))), lambda x: x["text"] != "")
 
 
-def scored_blocks(docs: DataFrame, by_line: bool = False, prefer_recent: bool = False) -> DataFrame:
-    """``docs`` has doc_id, content, query_id and terms; one row per block with its score and whether it leads."""
-    rows = docs.select("doc_id", "query_id", "terms", F.posexplode(blocks(F.col("content"), by_line)).alias("n", "b"))
-    return rows.select("doc_id", "query_id", "n", "b.text", "b.offset", text.score_block(F.col("b.text"), F.col("terms"), prefer_recent).alias("score"), (F.col("n") == 0).alias("lead"))
-
-
 def select_passages(docs: DataFrame, most: int = 4, most_chars: int = 900, total_chars: int | Column = 2400, threshold: float = 0.35, gap: int = 120) -> DataFrame:
     """(doc_id, query_id, passages): array<struct<text,score,offset>> in document order; the lead where nothing scores.
 
-    A left fold over each document's blocks, best first, as one expression."""
-    found = scored_blocks(docs).filter(F.col("score") > threshold)
-    entry = F.struct((-F.col("score")).alias("s"), F.col("offset"), F.col("text"), F.col("lead"))
-    ranked = found.groupBy("doc_id", "query_id").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    ``docs`` has doc_id, query_id, content and terms; a document that many queries ask may bring its ``blocks`` along, made once.
+    Scoring and a left fold over the blocks, best first, are one expression: nothing is shuffled."""
+    made = docs if "blocks" in docs.columns else docs.withColumn("blocks", blocks(F.col("content")))
+    scored = F.transform("blocks", lambda b, i: F.struct((-text.score_block(b["text"], F.col("terms"))).alias("s"), b.offset.alias("offset"), b["text"].alias("text"), (i == 0).alias("lead")))
     budget = F.lit(total_chars) if isinstance(total_chars, int) else total_chars
     one = "struct<text:string,score:double,offset:int,stop:int>"
     body = F.trim(F.coalesce("content", F.lit("")))
     lead = F.when(body != "", F.array(F.struct(F.lit(0).alias("offset"), text.truncate(body, most_chars).alias("text"), F.lit(0.0).alias("score")))).otherwise(F.array().cast("array<struct<offset:int,text:string,score:double>>"))
-    joined = docs.select("doc_id", "query_id", lead.alias("lead"), budget.cast("int").alias("budget")).join(ranked, ["doc_id", "query_id"], "left")
+    joined = made.select("doc_id", "query_id", lead.alias("lead"), budget.cast("int").alias("budget"), F.array_sort(F.filter(scored, lambda x: x.s < -threshold)).alias("ranked"))
     start = F.struct(F.array().cast(f"array<{one}>").alias("chosen"), F.lit(0).alias("total"))
 
     def step(a: Column, x: Column) -> Column:

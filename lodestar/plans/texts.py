@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import Config
@@ -170,9 +170,9 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     return index.search(index.build(docs), queries)
 
 
-def _holding(spark: SparkSession, d: str) -> DataFrame:
-    """Every query with every document that holds one of its terms, as the scores count them: anywhere in the lower-cased text."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lower("text").alias("low"))
+def _holding(spark: SparkSession, d: str, **more: Column) -> DataFrame:
+    """Every query with every document that holds one of its terms, as the scores count them: anywhere in the lower-cased text. ``more`` are columns made of each document once."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lower("text").alias("low")).withColumns(more)
     queries = asked(spark, d).select("query_id", F.split("query", " ").alias("terms"))
     return docs.join(F.broadcast(queries), F.exists("terms", lambda t: (t != "") & F.contains("low", t))).drop("low")
 
@@ -197,8 +197,10 @@ def passage_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("passages_selected")
 def passages_selected(spark: SparkSession, d: str) -> DataFrame:
-    rows = _holding(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
-    return passages.select_passages(rows.select("doc_id", "query_id", "content", "terms"))
+    """Each document is cut into blocks once, however many queries ask it."""
+    content = F.replace("content", F.lit("\n"), F.lit("\n\n"))
+    rows = _holding(spark, d, content=content, blocks=passages.blocks(content))
+    return passages.select_passages(rows.select("doc_id", "query_id", "content", "terms", "blocks"))
 
 
 @query(
