@@ -15,7 +15,8 @@ connected components of the links. Words per shingle and ``percent`` are paramet
    once, so a passage that many documents share doesn't bring them together.
 3. In each block all nodes are linked to its least one, as candidates; these stars are verified, and give first classes.
    Within a class nothing more needs comparing.
-4. Blocks that still hold several classes are put together where they share a node; each such *group* is searched by *signature
+4. A pair that links agrees in all but d parts, so a node has to meet other classes in a number of blocks that its count of empty parts tells; nodes
+   that don't are left out, in some rounds. Blocks that still hold several classes are put together where they share a node; each such *group* is searched by *signature
    trees*: nodes of the tree hold the OR of their members' token bitmaps, their range of sizes, and their class if it is one; two trees
    are traversed at once, and a pair of tree nodes is pruned when it has one class, when the ranges of sizes are too far apart or when the
    greatest overlap that the bitmaps allow is too small. Pairs of leaves that remain are verified on the full sets, those of the
@@ -51,6 +52,8 @@ PERCENT = 90
 CLASS_RATIO = 1.5
 #: Ways to deal shingles to parts.
 DEALS = 6
+#: Rounds in which nodes that share too few blocks to link are left out; any number loses no link.
+ROUNDS = 3
 #: Most nodes of blocks that are put together.
 GROUP = 20_000
 #: Members of one chunk of a large group, at least and at most, and the bytes of their sets.
@@ -146,9 +149,10 @@ class Classes:
         return (c >= 0) & (n * 100 // self.percent >= self.bounds[np.maximum(c, 0) + 1])
 
 
-def block_keys(sets: list[np.ndarray], classes: Classes) -> list[np.ndarray]:
-    """The block keys of each set."""
+def block_keys(sets: list[np.ndarray], classes: Classes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The block keys of each set, and a mark for each key: twice the least number of keys that a linked set shares at this level, plus 1 at the next class's level."""
     out: list[list[np.ndarray]] = [[] for _ in sets]
+    marks: list[list[np.ndarray]] = [[] for _ in sets]
     sizes = np.array([len(s) for s in sets], np.int64)
     own = classes.of(sizes)
     for step in (0, 1):
@@ -158,18 +162,22 @@ def block_keys(sets: list[np.ndarray], classes: Classes) -> list[np.ndarray]:
             if not len(chosen):
                 break
             again = []
-            for i, (keys, enough) in zip(chosen.tolist(), _dealt([sets[i] for i in chosen], c[chosen], classes, deal), strict=True):
+            for i, (keys, room) in zip(chosen.tolist(), _dealt([sets[i] for i in chosen], c[chosen], classes, deal), strict=True):
                 out[i].append(keys)
-                if not enough:
+                # a partner may have met its own number in another deal, so only the first deal tells more than one
+                marks[i].append(np.full(len(keys), 2 * (room + 1 if room > 0 and not deal else 1) + step, np.int32))
+                if room < 0:
                     again.append(i)
             chosen = np.array(again, np.int64)
         for i in chosen.tolist():
             out[i].append(mix(np.array([c[i] + 1], np.uint64)))
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+            marks[i].append(np.array([2 + step], np.int32))
+    joined = lambda found, kind: [np.concatenate(x) if x else np.zeros(0, kind) for x in found]
+    return joined(out, np.uint64), joined(marks, np.int32)
 
 
-def _dealt(sets: list[np.ndarray], c: np.ndarray, classes: Classes, deal: int) -> Iterator[tuple[np.ndarray, bool]]:
-    """The keys of each set from one deal of shingles to parts, and whether no more parts are empty than allowed for."""
+def _dealt(sets: list[np.ndarray], c: np.ndarray, classes: Classes, deal: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The keys of each set from one deal of shingles to parts, and how many more parts might be empty by what was allowed for."""
     parts, count = classes.parts[c], np.array([len(s) for s in sets], np.int64)
     offset = np.concatenate([[0], np.cumsum(parts)])
     flat = np.concatenate(sets)
@@ -185,11 +193,11 @@ def _dealt(sets: list[np.ndarray], c: np.ndarray, classes: Classes, deal: int) -
     full = np.bincount(at, minlength=offset[-1]) > 0
     for a, b, k in zip(offset, offset[1:], c, strict=False):
         mine = key[a:b][full[a:b]]
-        yield mine, b - a - len(mine) <= classes.spare[k]
+        yield mine, int(classes.spare[k] - (b - a - len(mine)))
 
 
 def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, proof, did, th, keys) per document: size and two hashes of its set, what finds its row again, and its block keys.
+    """(doc_id, n, node, proof, did, th, keys, marks) per document: size and two hashes of its set, what finds its row again, and its block keys.
 
     A node's keys stand once for each task that saw it, so copies add few."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"), "text")
@@ -207,12 +215,13 @@ def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
             if len(seen) > CACHE:
                 seen.clear()
             keys: list[np.ndarray | None] = [None] * len(sets)
-            for i, k in zip(fresh, block_keys([sets[i] for i in fresh], classes), strict=True):
-                keys[i] = k.view(np.int64)
+            marks: list[np.ndarray | None] = [None] * len(sets)
+            for i, k, m in zip(fresh, *block_keys([sets[i] for i in fresh], classes), strict=True):
+                keys[i], marks[i] = k.view(np.int64), m
             names, proofs = (pa.array(x, pa.int64()) for x in zip(*nodes, strict=True)) if nodes else (pa.array([], pa.int64()),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), names, proofs, batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "proof", "did", "th", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), names, proofs, batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "n", "node", "proof", "did", "th", "keys", "marks"])
 
-    return map_arrow(rows, run, "doc_id long, n long, node long, proof long, did long, th long, keys array<long>")
+    return map_arrow(rows, run, "doc_id long, n long, node long, proof long, did long, th long, keys array<long>, marks array<int>")
 
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
@@ -234,25 +243,28 @@ def told_apart(documents: DataFrame) -> DataFrame:
 
 
 def shared_blocks(documents: DataFrame) -> DataFrame:
-    """(key, hub, node): each node of a block but its least one, the hub. Streams over sorted rows; no block is gathered."""
-    rows = documents.filter("keys is not null").select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    """(key, hub, node, hub_mark, mark): each node of a block but its least one, the hub. Streams over sorted rows; no block is gathered."""
+    keyed = documents.filter("keys is not null").select(F.explode(F.arrays_zip("keys", "marks")).alias("k"), "node")
+    rows = keyed.select(F.col("k.keys").alias("key"), "node", F.col("k.marks").alias("mark")).repartition("key").sortWithinPartitions("key", "node")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = hub = None
+        last_key = last_node = hub = hub_mark = None
         for batch in it:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, node, mark = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
                 continue
             first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
             begin = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            hubs = np.where(begin >= 0, node[np.maximum(begin, 0)], 0 if hub is None else hub)
+            at = np.maximum(begin, 0)
+            hubs = np.where(begin >= 0, node[at], 0 if hub is None else hub)
+            hub_marks = np.where(begin >= 0, mark[at], 0 if hub_mark is None else hub_mark).astype(np.int32)
             again = np.concatenate([[not first[0] and node[0] == last_node], (node[1:] == node[:-1]) & ~first[1:]])
             keep = (hubs != node) & ~again
-            last_key, last_node, hub = key[-1], node[-1], hubs[-1]
+            last_key, last_node, hub, hub_mark = key[-1], node[-1], hubs[-1], hub_marks[-1]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hubs[keep]), pa.array(node[keep])], names=["key", "hub", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hubs, node, hub_marks, mark)], names=["key", "hub", "node", "hub_mark", "mark"])
 
-    return map_arrow(rows, run, "key long, hub long, node long")
+    return map_arrow(rows, run, "key long, hub long, node long, hub_mark int, mark int")
 
 
 def texts_of(docs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -405,13 +417,26 @@ class Cell:
         return left, right
 
 
+def several_classes(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (key, node, component, mark) in blocks of several classes, without the nodes that share too few blocks to link.
+
+    Sets that link share at least as many blocks at one level as the mark of either says, and while they are of two classes all these blocks hold
+    several; so a node in fewer goes, and each round can only lose nodes without a link."""
+    for k in range(ROUNDS):
+        mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        members = written(members.join(mixed, "key"), f"jaccard-mixed-{k}")
+        enough = members.groupBy("node", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.shiftright("mark", 1)).select("node", "mark")
+        members = members.join(enough, ["node", "mark"], "left_semi")
+    return members
+
+
 def groups(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """(group, node, component) of the members of blocks that hold several classes; blocks that share a node are one group, up to GROUP nodes."""
-    members = blocks.select("key", "node").unionByName(blocks.select("key", F.col("hub").alias("node")).distinct())
-    classed = members.join(classes.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = classed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    held = written(classed.join(mixed, "key"), "jaccard-mixed")
-    joined = components(blocks.join(mixed, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")), "jaccard-groups").withColumnRenamed("component", "group")
+    members = blocks.select("key", "node", "mark").unionByName(blocks.select("key", F.col("hub").alias("node"), F.col("hub_mark").alias("mark")).distinct())
+    classed = members.join(classes.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "mark")
+    held = written(several_classes(classed), "jaccard-mixed")
+    hubs = held.groupBy("key").agg(F.min("node").alias("hub"))
+    joined = components(held.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).filter("a != b"), "jaccard-groups").withColumnRenamed("component", "group")
     large = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group")
     alone = joined.join(large, "group", "left_semi").select("node")
     small = held.select("node", "component").distinct().join(joined.join(large, "group", "left_anti"), "node")
