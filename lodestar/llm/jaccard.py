@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, packed, tune, unpacked, written
+from .common import as_bytes, discard, free_shuffles, map_arrow, packed, tune, unpacked, written
 from .graph import components
 
 SHINGLE = 3
@@ -496,12 +496,19 @@ def tree_links(blocks: DataFrame, classes: DataFrame, documents: DataFrame, text
 def classes_of(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, node, did, th, component) per document; component is the class's node."""
     tune(docs.sparkSession)
-    documents = told_apart(written(shingled(docs, size, percent), "jaccard-docs"))
-    blocks = written(shared_blocks(documents), "jaccard-blocks")
+    spark, shingles = docs.sparkSession, written(shingled(docs, size, percent), "jaccard-docs")
+    keyed = told_apart(shingles)
+    blocks = written(shared_blocks(keyed), "jaccard-blocks")
+    documents = written(keyed.drop("keys", "marks"), "jaccard-nodes")
+    # the block keys, of which there are as many as shingles nearly, are on disk only until the blocks are known
+    discard(keyed)
+    discard(shingles)
+    free_shuffles(spark)
     stars = written(blocks.select("hub", "node").distinct(), "jaccard-stars")
     nodes = stars.select("node").union(stars.select("hub")).distinct()
     texts = written(texts_of(docs, documents, nodes), "jaccard-texts")
     first = written(verified(stars, texts, size, percent), "jaccard-links")
+    free_shuffles(spark)
     classes = joined_classes(first, "jaccard-first")
     more = written(tree_links(blocks, classes, documents, texts, size, percent), "jaccard-more")
     if not more.isEmpty():
