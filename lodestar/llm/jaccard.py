@@ -59,6 +59,8 @@ GROUP = 20_000
 #: Members of one chunk of a large group, at least and at most, and the bytes of their sets.
 CHUNK = (512, 4096)
 CHUNK_BYTES = 16 << 20
+#: Cells that a member of a large group is dealt to, about, unless the bounds of a chunk ask for more: its text is written once for each.
+COPIES = 8
 #: Links of one hub that one task verifies.
 HUB = 200
 #: Bits of a token bitmap for each shingle of a set of middle size, and of all bitmaps of a cell; members of a leaf of a signature tree.
@@ -452,7 +454,7 @@ def tree_links(blocks: DataFrame, classes: DataFrame, documents: DataFrame, text
     even = rows.count() // (2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     per_class = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
     stats = per_class.groupBy("group").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component")).alias("top"))
-    chunk = F.greatest(F.lit(1), F.least(F.lit(max(least, min(most, even))), F.expr(f"{CHUNK_BYTES >> 3} * n div shingles")))
+    chunk = F.greatest(F.lit(1), F.least(F.greatest(F.lit(max(least, min(most, even))), F.least(F.lit(most), F.ceil(F.col("n") / COPIES))), F.expr(f"{CHUNK_BYTES >> 3} * n div shingles")))
     cells = lambda n: F.greatest(F.lit(1), F.ceil(n / F.col("chunk"))).cast("int")
     cut = stats.withColumn("chunk", chunk).select("group", (F.col("n") <= F.col("chunk")).alias("one"), F.col("top.component").alias("largest"), cells(F.col("top.n")).alias("a"), cells(F.col("n") - F.col("top.n")).alias("b"))
     first = F.col("component") == F.col("largest")
