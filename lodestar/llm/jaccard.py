@@ -6,22 +6,19 @@ connected components of the links. Words per shingle and ``percent`` are paramet
 
 1. Documents of equal sets become one *node*. Sets are told apart by 128 bits of hash: where two sets
    have the same first 64 bits, which name the node, both get a name made from all 128.
-2. Blocking without loss: a linked pair of sizes up to N differs in at most d shingles (2N/19 at 90 %).
-   Shingles are dealt by hash to more than d parts, so some part holds the same shingles
-   in both; its hash is a block key. Sizes fall into classes, each with its number of parts; a
-   document also enters the next class if a partner can be there. A document with more empty parts than
-   were allowed for, some in a thousand, is dealt again in another way, up to DEALS times, and after that, one in thousands of millions, adds a key
-   that stands for its class: a pair that no part of one deal brings together has too many empty parts in both. A key stands for several shingles at
-   once, so a passage that many documents share doesn't bring them together.
-3. In each block all nodes are linked to its least one, as candidates; these stars are verified, and give first classes.
+2. Blocking without loss: all shingles stand in one order, and the block keys of a set of n shingles are the first of them, a few more than
+   the n (100 - percent) / 100 that a linked set may lack; so sets that link share at least those few. Any order is right; a good one has rare shingles
+   first, so that passages which many documents share bring none together: the number of times that a shingle occurs in SAMPLE documents says what is
+   common. Nodes that share too few blocks to link are left out before anything is compared.
+3. In each block all nodes are linked to its least one, as candidates, and those that meet in enough blocks are verified; these stars give first classes.
    Within a class nothing more needs comparing.
-4. A pair that links agrees in all but d parts, so a node has to meet other classes in a number of blocks that its count of empty parts tells; nodes
-   that don't are left out, in some rounds. Blocks that still hold several classes are put together where they share a node; each such *group* is searched by *signature
+4. Nodes that meet other classes in too few blocks to link are left out, in some rounds. In what is left, pairs that share enough narrow blocks, and nodes whose
+   wide blocks alone would be enough, are put together; each such *group* is searched by *signature
    trees*: nodes of the tree hold the OR of their members' token bitmaps, their range of sizes, and their class if it is one; two trees
    are traversed at once, and a pair of tree nodes is pruned when it has one class, when the ranges of sizes are too far apart or when the
    greatest overlap that the bitmaps allow is too small. Pairs of leaves that remain are verified on the full sets, those of the
    greatest overlap first, and only while their classes are apart: what comes out is a forest over the classes, not all pairs.
-   A node stands in one group, so its text is sent once, not for each of its blocks; blocks that would make a group of more than GROUP nodes
+   A node stands in one group, so its text is sent once, not for each of its blocks; wide blocks that would make a group of more than GROUP nodes
    stay apart. A large group is split into cells: its largest class and the others are cut into chunks, and pairs of chunks meet, each pair in one cell.
 5. The verified links of both steps give the classes.
 
@@ -40,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, free_shuffles, map_arrow, packed, tune, unpacked, written
@@ -48,13 +45,18 @@ from .graph import components
 
 SHINGLE = 3
 PERCENT = 90
-#: Ratio of the sizes of a size class.
-CLASS_RATIO = 1.5
-#: Ways to deal shingles to parts.
-DEALS = 6
+#: Documents, and characters of each, that tell which shingles are common, and the most common shingles that are remembered. They set the order of keys alone.
+SAMPLE = 4000
+SAMPLE_CHARS = 20_000
+COMMON = 1 << 18
+#: Keys beyond those that a linked set may lack: so many, and one for each so many shingles.
+SPARE = 3
+SPARE_SHARE = 20
 #: Rounds in which nodes that share too few blocks to link are left out; any number loses no link.
-ROUNDS = 3
-#: Most nodes of blocks that are put together.
+ROUNDS = 2
+#: Most nodes of a block whose pairs are counted.
+WIDE = 50
+#: Most nodes that are put together.
 GROUP = 20_000
 #: Members of one chunk of a large group, at least and at most, and the bytes of their sets.
 CHUNK = (512, 4096)
@@ -117,95 +119,81 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class Classes:
-    """Size classes: their bounds, greatest differences, allowed empty parts and numbers of parts."""
+    """The order of shingles, and the numbers of block keys of a set and of those that a linked set shares."""
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
+    def __init__(self, percent: int = PERCENT, common: np.ndarray | None = None):
+        self.percent, self.spare = percent, SPARE
         # the smallest set that can link to a different one
-        least = -(-percent // (100 - percent))
-        bounds = [least]
-        while bounds[-1] < 1 << 40:
-            bounds.append(int(bounds[-1] * CLASS_RATIO) + 1)
-        self.bounds = np.array(bounds, np.int64)
-        top = self.bounds[1:] - 1
-        # union u = (sizes + difference) / 2, difference <= u (100 - p) / 100
-        differ = 2 * top * (100 - percent) // (100 + percent)
-        # so many parts may be empty: some deviations more than a set of the class's least size has, while a part has some shingles
-        low, spare = self.bounds[:-1], np.ones(len(top), np.int64)
-        while True:
-            parts = differ + 1 + spare
-            share = np.exp(-low / parts)
-            usual = parts * share + 3.3 * np.sqrt(parts * share * (1 - (1 + low / parts) * share))
-            short = (usual > spare + 0.5) & (3 * (parts + 1) <= 2 * low)
-            if not short.any():
-                break
-            spare = np.where(short, np.maximum(spare + 1, np.minimum(usual.astype(np.int64), 2 * low // 3 - differ - 1)), spare)
-        self.spare = spare
-        self.parts = differ + 1 + self.spare
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        """The class of each size; -1 for sizes too small to link."""
-        return np.searchsorted(self.bounds, n, "right") - 1
-
-    def reaches_next(self, n: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (c >= 0) & (n * 100 // self.percent >= self.bounds[np.maximum(c, 0) + 1])
+        self.least = -(-percent // (100 - percent))
+        # how common a shingle is, by some of its bits: what falls together with a common one counts as common, for all sets alike
+        self.level = np.zeros(1 << 22, np.uint8)
+        if common is not None:
+            np.maximum.at(self.level, self.place(common[0]), common[1].astype(np.uint8))
+
+    def place(self, shingles: np.ndarray) -> np.ndarray:
+        return (shingles & _U(len(self.level) - 1)).astype(np.int64)
+
+    def extra(self, n: int) -> int:
+        return max(1, self.spare + n // SPARE_SHARE)
+
+    def keys(self, n: int) -> int:
+        """The number of keys of a set of n shingles: all but the first of ``extra`` of the shared ones may stand behind what a linked set lacks."""
+        return min(n, n - -(-self.percent * n // 100) + self.extra(n)) if n >= self.least else 0
+
+    def shared(self, n: int) -> int:
+        """The least number of keys that a set shares with any that links to it: of two sets, all shared shingles among the keys of that whose
+        last key comes first are keys of both, and a partner has percent of n shingles or more."""
+        return min(-(-self.percent * n // 100), self.extra(-(-self.percent * n // 100)))
+
+    def first(self, s: np.ndarray, count: int) -> np.ndarray:
+        """The first ``count`` shingles of a set in the order: by level, then by a mixing, in which no two are equal."""
+        level = self.level[self.place(s)]
+        rare = s[level == 0]
+        if len(rare) >= count:
+            return rare[np.argpartition(mix(rare), count - 1)[:count]]
+        return s[np.lexsort((mix(s), level))[:count]]
 
 
 def block_keys(sets: list[np.ndarray], classes: Classes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The block keys of each set, and a mark for each key: twice the least number of keys that a linked set shares at this level, plus 1 at the next class's level."""
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    marks: list[list[np.ndarray]] = [[] for _ in sets]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    own = classes.of(sizes)
-    for step in (0, 1):
-        c = own + step
-        chosen = np.flatnonzero((own >= 0) if step == 0 else classes.reaches_next(sizes, own))
-        for deal in range(DEALS):
-            if not len(chosen):
-                break
-            again = []
-            for i, (keys, room) in zip(chosen.tolist(), _dealt([sets[i] for i in chosen], c[chosen], classes, deal), strict=True):
-                out[i].append(keys)
-                # a partner may have met its own number in another deal, so only the first deal tells more than one
-                marks[i].append(np.full(len(keys), 2 * (room + 1 if room > 0 and not deal else 1) + step, np.int32))
-                if room < 0:
-                    again.append(i)
-            chosen = np.array(again, np.int64)
-        for i in chosen.tolist():
-            out[i].append(mix(np.array([c[i] + 1], np.uint64)))
-            marks[i].append(np.array([2 + step], np.int32))
-    joined = lambda found, kind: [np.concatenate(x) if x else np.zeros(0, kind) for x in found]
-    return joined(out, np.uint64), joined(marks, np.int32)
-
-
-def _dealt(sets: list[np.ndarray], c: np.ndarray, classes: Classes, deal: int) -> Iterator[tuple[np.ndarray, int]]:
-    """The keys of each set from one deal of shingles to parts, and how many more parts might be empty by what was allowed for."""
-    parts, count = classes.parts[c], np.array([len(s) for s in sets], np.int64)
-    offset = np.concatenate([[0], np.cumsum(parts)])
-    flat = np.concatenate(sets)
-    order = mix(flat + _U(deal)) if deal else flat
-    at = ((order >> _U(20)) % np.repeat(parts, count).astype(np.uint64)).astype(np.int64) + np.repeat(offset[:-1], count)
-    value = mix(flat + _U(0x9E3779B97F4A7C15))
-    # sums of 32-bit halves are exact in doubles up to 2**21 shingles a part
-    low = np.bincount(at, (value & _U(0xFFFFFFFF)).astype(np.float64), offset[-1]).astype(np.uint64)
-    high = np.bincount(at, (value >> _U(32)).astype(np.float64), offset[-1]).astype(np.uint64)
-    number = np.arange(offset[-1]) - np.repeat(offset[:-1], parts)
-    level = np.repeat(c, parts).astype(np.uint64) + _U(deal << 8)
-    key = mix(mix(low + (high << _U(32))) + _U(0x632BE59BD9B4E019) * (number + 1).astype(np.uint64) + (level << _U(48)))
-    full = np.bincount(at, minlength=offset[-1]) > 0
-    for a, b, k in zip(offset, offset[1:], c, strict=False):
-        mine = key[a:b][full[a:b]]
-        yield mine, int(classes.spare[k] - (b - a - len(mine)))
+    """The block keys of each set, and a mark for each key: twice the least number of keys that a linked set shares."""
+    counts = [classes.keys(len(s)) for s in sets]
+    keys = [classes.first(s, k) if k else np.zeros(0, np.uint64) for s, k in zip(sets, counts, strict=True)]
+    return keys, [np.full(k, 2 * classes.shared(len(s)), np.int32) for s, k in zip(sets, counts, strict=True)]
+
+
+def common_shingles(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in several of some SAMPLE documents, at most COMMON, and the binary digits of their numbers. Only the order of keys hangs on it."""
+    rows = docs.count()
+    share = min(1 << 30, (SAMPLE << 30) // max(1, rows))
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, sets = WordHashes(), set(), []
+        for batch in it:
+            for text in as_bytes(batch.column(0)):
+                s = shingle_set(text, hashes, size)
+                # copies of one set tell nothing on what is common
+                if node_of(s) not in seen:
+                    seen.add(node_of(s))
+                    sets.append(s)
+        shingles, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+        top = np.argsort(-count, kind="stable")[:COMMON]
+        top = top[count[top] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(shingles[top].view(np.int64)), pa.array(np.ceil(np.log2(count[top] + 1)).astype(np.int32))], names=["shingle", "level"])
+
+    found = map_arrow(drawn.repartition(1), run, "shingle long, level int").toArrow()
+    return found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
 
 
 def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, proof, did, th, keys, marks) per document: size and two hashes of its set, what finds its row again, and its block keys.
+    """(doc_id, n, node, proof, did, th, keys, mark) per document: size and two hashes of its set, what finds its row again, and its block keys.
 
     A node's keys stand once for each task that saw it, so copies add few."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"), "text")
+    common = common_shingles(docs, size)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, seen = WordHashes(), Classes(percent), set()
+        hashes, classes, seen = WordHashes(), Classes(percent, common), set()
         for batch in it:
             sets = [shingle_set(t, hashes, size) for t in as_bytes(batch.column(3))]
             nodes = [node_of(s) for s in sets]
@@ -217,13 +205,13 @@ def shingled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
             if len(seen) > CACHE:
                 seen.clear()
             keys: list[np.ndarray | None] = [None] * len(sets)
-            marks: list[np.ndarray | None] = [None] * len(sets)
-            for i, k, m in zip(fresh, *block_keys([sets[i] for i in fresh], classes), strict=True):
-                keys[i], marks[i] = k.view(np.int64), m
+            for i, k in zip(fresh, block_keys([sets[i] for i in fresh], classes)[0], strict=True):
+                keys[i] = k.view(np.int64)
+            marks = [2 * classes.shared(len(s)) for s in sets]
             names, proofs = (pa.array(x, pa.int64()) for x in zip(*nodes, strict=True)) if nodes else (pa.array([], pa.int64()),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), names, proofs, batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "n", "node", "proof", "did", "th", "keys", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), names, proofs, batch.column(1), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.int32())], names=["doc_id", "n", "node", "proof", "did", "th", "keys", "mark"])
 
-    return map_arrow(rows, run, "doc_id long, n long, node long, proof long, did long, th long, keys array<long>, marks array<int>")
+    return map_arrow(rows, run, "doc_id long, n long, node long, proof long, did long, th long, keys array<long>, mark int")
 
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
@@ -245,28 +233,42 @@ def told_apart(documents: DataFrame) -> DataFrame:
 
 
 def shared_blocks(documents: DataFrame) -> DataFrame:
-    """(key, hub, node, hub_mark, mark): each node of a block but its least one, the hub. Streams over sorted rows; no block is gathered."""
-    keyed = documents.filter("keys is not null").select(F.explode(F.arrays_zip("keys", "marks")).alias("k"), "node")
-    rows = keyed.select(F.col("k.keys").alias("key"), "node", F.col("k.marks").alias("mark")).repartition("key").sortWithinPartitions("key", "node")
+    """(key, node) of the blocks of several nodes, without the nodes that stand in fewer of them than they share with any that links to them. Streams over sorted rows; no block is gathered."""
+    keyed = documents.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
+    rows = keyed.repartition("key").sortWithinPartitions("key", "node")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_node = hub = hub_mark = None
+        # the last row waits for the next batch, which tells whether its block has more nodes
+        kept, out = (np.zeros(0, np.int64),) * 2, False
         for batch in it:
-            key, node, mark = (batch.column(k).to_numpy() for k in range(3))
+            key, node = (np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept))
             if not len(key):
                 continue
-            first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            at = np.maximum(begin, 0)
-            hubs = np.where(begin >= 0, node[at], 0 if hub is None else hub)
-            hub_marks = np.where(begin >= 0, mark[at], 0 if hub_mark is None else hub_mark).astype(np.int32)
-            again = np.concatenate([[not first[0] and node[0] == last_node], (node[1:] == node[:-1]) & ~first[1:]])
-            keep = (hubs != node) & ~again
-            last_key, last_node, hub, hub_mark = key[-1], node[-1], hubs[-1], hub_marks[-1]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hubs, node, hub_marks, mark)], names=["key", "hub", "node", "hub_mark", "mark"])
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
+            key, node = key[~again], node[~again]
+            same = key[1:] == key[:-1]
+            several = np.concatenate([[out], same]) | np.concatenate([same, [False]])
+            kept, out = (key[-1:], node[-1:]), bool(several[-1])
+            if several[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][several[:-1]]) for x in (key, node)], names=["key", "node"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["key", "node"])
+
+    several = written(map_arrow(rows, run, "key long, node long"), "jaccard-several")
+    enough = several.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(marks_of(documents), "node").filter(F.col("n") >= F.shiftright("mark", 1))
+    return several.join(enough.select("node", "mark"), "node").select("key", "node", "mark")
 
-    return map_arrow(rows, run, "key long, hub long, node long, hub_mark int, mark int")
+
+def marks_of(documents: DataFrame) -> DataFrame:
+    """(node, mark) per node."""
+    return documents.groupBy("node").agg(F.max("mark").alias("mark"))
+
+
+def stars_of(blocks: DataFrame) -> DataFrame:
+    """(hub, node): each node with the least one of its block, where they are met so in as many blocks as sets that link share. The trees find what this leaves out."""
+    hubs = blocks.groupBy("key").agg(F.min(F.struct("node", "mark")).alias("hub"))
+    met = blocks.join(hubs, "key").filter("node != hub.node").groupBy(F.col("hub.node").alias("hub"), "node").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("mark", "hub.mark")).alias("mark"))
+    return met.filter(F.col("n") >= F.shiftright("mark", 1)).select("hub", "node")
 
 
 def texts_of(docs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -422,35 +424,66 @@ class Cell:
 def several_classes(members: DataFrame) -> DataFrame:
     """The rows of ``members`` (key, node, component, mark) in blocks of several classes, without the nodes that share too few blocks to link.
 
-    Sets that link share at least as many blocks at one level as the mark of either says, and while they are of two classes all these blocks hold
-    several; so a node in fewer goes, and each round can only lose nodes without a link."""
-    for k in range(ROUNDS):
+    Sets that link share at least half as many blocks as the mark of either says, and while they are of two classes all these blocks hold several; so a node in fewer goes, and each round can only lose nodes without a link."""
+    last = None
+    for k in range(ROUNDS + 1):
         mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-        members = written(members.join(mixed, "key"), f"jaccard-mixed-{k}")
-        enough = members.groupBy("node", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.shiftright("mark", 1)).select("node", "mark")
-        members = members.join(enough, ["node", "mark"], "left_semi")
-    return members
+        found = written(members.join(mixed, "key"), f"jaccard-mixed-{k}")
+        if last is not None:
+            discard(last)
+        last = found
+        enough = found.groupBy("node", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.shiftright("mark", 1)).select("node", "mark")
+        members = found.join(enough, ["node", "mark"], "left_semi")
+    return found
+
+
+def near(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What joins the nodes of ``held`` (key, node, component, mark) that may link: pairs (a, b), and the rows (key, node) of wide blocks that are needed besides.
+
+    In blocks of at most WIDE nodes the blocks of each pair are counted. A node needs so many with a partner that these and its own wide blocks make up what
+    sets that link share. Only where the wide ones alone can, they stand themselves: of those that sets that link share, the narrowest is one of a node's
+    narrowest, so as many of its widest as it shares with a partner, less one, aren't needed."""
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    rows = written(held.join(sizes, "key"), "jaccard-sized")
+    wide = F.col("size") > WIDE
+    lack = rows.groupBy("node").agg((F.shiftright(F.max("mark"), 1) - F.sum(wide.cast("int"))).alias("lack"))
+    listed = rows.filter(~wide).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m"))
+    met = listed.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, WIDE), lambda y: y.component != x.component), lambda y: F.struct(x.node.alias("a"), y.node.alias("b")))))).alias("p"))
+    pairs = met.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k: lack.select(F.col("node").alias(k), F.col("lack").alias(f"lack_{k}"))
+    enough = pairs.join(of("a"), "a").join(of("b"), "b").filter((F.col("n") >= F.col("lack_a")) & (F.col("n") >= F.col("lack_b"))).select("a", "b")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key")))
+    needed = rows.filter(wide).withColumn("place", place).filter(F.col("place") >= F.shiftright("mark", 1)).select("key", "node")
+    return written(enough, "jaccard-near"), written(needed, "jaccard-wide")
 
 
 def groups(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(group, node, component) of the members of blocks that hold several classes; blocks that share a node are one group, up to GROUP nodes."""
-    members = blocks.select("key", "node", "mark").unionByName(blocks.select("key", F.col("hub").alias("node"), F.col("hub_mark").alias("mark")).distinct())
-    classed = members.join(classes.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "mark")
-    held = written(several_classes(classed), "jaccard-mixed")
-    hubs = held.groupBy("key").agg(F.min("node").alias("hub"))
-    joined = components(held.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).filter("a != b"), "jaccard-groups").withColumnRenamed("component", "group")
-    large = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group")
-    alone = joined.join(large, "group", "left_semi").select("node")
-    small = held.select("node", "component").distinct().join(joined.join(large, "group", "left_anti"), "node")
-    return small.select("group", "node", "component").unionByName(held.join(alone, "node", "left_semi").select(F.col("key").alias("group"), "node", "component").distinct())
-
-
-def tree_links(blocks: DataFrame, classes: DataFrame, documents: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(group, node, component) of the members of blocks that hold several classes; nodes that may link are in one group, up to GROUP nodes. Beyond,
+    pairs of narrow blocks make one group, and each wide block is its own."""
+    classed = blocks.join(classes.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "mark")
+    held = several_classes(classed)
+    pairs, wide = near(held)
+    hubs = wide.groupBy("key").agg(F.min("node").alias("hub"))
+    stars = wide.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).filter("a != b")
+    joined = components(pairs.unionByName(stars), "jaccard-groups").withColumnRenamed("component", "group")
+    large = written(joined.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("group"), "jaccard-large")
+    members = held.groupBy("node").agg(F.min("component").alias("component"))
+    if large.isEmpty():
+        return members.join(joined, "node").select("group", "node", "component")
+    alone = written(joined.join(large, "group", "left_semi").select("node"), "jaccard-alone")
+    apart = components(pairs.join(alone.withColumnRenamed("node", "a"), "a", "left_semi"), "jaccard-apart").withColumnRenamed("component", "group")
+    placed = joined.join(large, "group", "left_anti").select("group", "node").unionByName(apart.select("group", "node")).unionByName(wide.join(alone, "node", "left_semi").select(F.col("key").alias("group"), "node"))
+    return members.join(placed.distinct(), "node").select("group", "node", "component")
+
+
+def tree_links(docs: DataFrame, blocks: DataFrame, classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (hub, node) that join the classes in blocks of several classes, by signature trees."""
     spark, (least, most) = blocks.sparkSession, CHUNK
     sizes = documents.groupBy("node").agg(F.first("n").alias("n"))
     rows = written(groups(blocks, classes).join(sizes, "node"), "jaccard-groups")
     free_shuffles(spark)
+    texts = written(texts_of(docs, documents, rows.select("node").distinct()), "jaccard-texts")
+    free_shuffles(spark)
     # a chunk is half of what a task would get if rows were dealt evenly, within bounds
     even = rows.count() // (2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     per_class = rows.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
@@ -502,18 +535,19 @@ def classes_of(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     spark, shingles = docs.sparkSession, written(shingled(docs, size, percent), "jaccard-docs")
     keyed = told_apart(shingles)
     blocks = written(shared_blocks(keyed), "jaccard-blocks")
-    documents = written(keyed.drop("keys", "marks"), "jaccard-nodes")
+    documents = written(keyed.drop("keys", "mark"), "jaccard-nodes")
     # the block keys, of which there are as many as shingles nearly, are on disk only until the blocks are known
     discard(keyed)
     discard(shingles)
     free_shuffles(spark)
-    stars = written(blocks.select("hub", "node").distinct(), "jaccard-stars")
+    stars = written(stars_of(blocks), "jaccard-stars")
     nodes = stars.select("node").union(stars.select("hub")).distinct()
     texts = written(texts_of(docs, documents, nodes), "jaccard-texts")
     first = written(verified(stars, texts, size, percent), "jaccard-links")
+    discard(texts)
     free_shuffles(spark)
     classes = joined_classes(first, "jaccard-first")
-    more = written(tree_links(blocks, classes, documents, texts, size, percent), "jaccard-more")
+    more = written(tree_links(docs, blocks, classes, documents, size, percent), "jaccard-more")
     if not more.isEmpty():
         classes = joined_classes(first.unionByName(more), "jaccard-all")
     return documents.join(classes, "node", "left").select("doc_id", "n", "node", "did", "th", F.coalesce("component", "node").alias("component"))

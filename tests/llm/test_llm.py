@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd inputs."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -385,6 +386,33 @@ def test_block_keys_lose_no_pair():
     assert len(hashes) == 0
 
 
+def test_block_keys_are_few():
+    """A set has little more keys than a linked one may lack, at any size."""
+    for percent, n in itertools.product([80, 90], [40, 149, 1000, 5000]):
+        s = np.sort(jaccard.mix(np.arange(n, dtype=np.uint64)))
+        (keys,), (marks,) = jaccard.block_keys([s], jaccard.Classes(percent))
+        assert len(keys) <= n * (100 - percent) // 100 + n // 20 + 3 and marks[0] >> 1 >= 3
+
+
+def test_common_shingles_come_last(spark):
+    line = "this passage stands in every document and brings none of them together"
+    docs = spark.createDataFrame([(i, " ".join(f"r{i}x{k}" for k in range(60)) + " " + line) for i in range(30)], "doc_id long, text string")
+    common = jaccard.common_shingles(docs)
+    assert len(common[0]) == 10
+    assert jaccard.shared_blocks(jaccard.written(jaccard.shingled(docs), "t")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "percent", "wide", "group"), [(3, 90, 2, 20_000), (5, 80, 8, 20_000), (5, 80, 2, 5), (3, 80, 50, 5)])
+def test_trees_alone_find_all_links(spark, monkeypatch, size, percent, wide, group):
+    """Without stars, over blocks that are wide or narrow, in groups that are put together or stay apart."""
+    rows = near_copies()
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "stars_of", lambda blocks, f=jaccard.stars_of: f(blocks).filter("false"))
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(3), size, percent)
+    assert sorted(map(tuple, found.collect())) == brute_classes(rows, size, percent)
+
+
 def test_one_of_each(spark, rows):
     df = spark.createDataFrame(rows, DOCS)
     kept = sorted(r.doc_id for r in jaccard.one_of_each(df).collect() if shingle_set(r.text))
