@@ -189,10 +189,11 @@ s as (select *, (len(list_filter(hits, lambda x: x > 0)) / len(terms) * 3.2 + le
 select doc_id, query_id, count(*) as blocks, round(sum(score), 3) as total, round(max(score), 3) as best from s group by 1, 2""",
 )
 def passage_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every query's scores of the lines of every document that holds one of its terms."""
-    rows = _holding(spark, d).select("doc_id", "query_id", "terms", F.explode(F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("b"))
-    scored = rows.select("doc_id", "query_id", text.score_block(F.col("b"), F.col("terms")).alias("score"))
-    return scored.groupBy("doc_id", "query_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 3).alias("best"))
+    """Every query's scores of the lines of every document that holds one of its terms; each line is read once for all queries."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(F.trim(x).alias("text"))), lambda x: x["text"] != "")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), lines.alias("blocks"))
+    scored = passages.score_passages(docs, asked(spark, d).select("query_id", F.split("query", " ").alias("terms")))
+    return scored.select("doc_id", "query_id", "blocks", F.round("total", 3).alias("total"), F.round("best", 3).alias("best"))
 
 
 @query("passages_selected")

@@ -22,6 +22,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound what a Python worker and the Parquet reader hold at once: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's; a local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

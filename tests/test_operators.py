@@ -1,10 +1,14 @@
 """Operators against worked examples."""
 
+import functools
+import operator
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.api import Engine
 from lodestar.config import Config
+from lodestar.functions import text
 from lodestar.operators import cache, fusion, html, index, office, passages, planner, render, research
 from lodestar.plans import state
 from lodestar.streaming import breaker
@@ -225,3 +229,34 @@ def test_registered_functions(spark):
     assert session.register(spark) == ["html_page", "nfkc", "parse_document", "word_stem"]
     row = spark.sql("select word_stem('running') as s, html_page('<title>T</title><p>x', 'https://a.b/').title as t").first()
     assert (row.s, row.t) == ("run", "T")
+
+
+ODD_TEXTS = [
+    (1, "# Window size 5\nbananana banana ban\n\n- 3. ananas\n" + "word " * 30 + "banana split"),
+    (2, "x" * 70 + "banana" + "y" * 70 + "\n\u00c4PFEL banana\u00a0split\nB\u0130g"),
+    (3, None), (4, ""), (5, "nothing here\n \t\n"), (6, "aaaaaaa aaaa\n" * 3 + "7. banana aaaa"), (7, "```\nbanana\n```\nafter\n"),
+    (8, ("word " * 450 + "banana\n# banana 1\n") * 3 + "banana split. " * 120),
+]
+ODD_QUERIES = [(0, ["banana", "split"]), (1, ["anan", "window"]), (2, ["aa"]), (3, [""]), (4, ["banana split", "5"]), (5, ["\u00e4pfel", "", "b"]), (6, ["banana", "split"]), (7, []), (8, ["aaaa", "aa", "banana"])]
+
+
+def _odd(spark):
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id long, content string")
+    return docs, spark.createDataFrame(ODD_QUERIES, "query_id int, terms array<string>")
+
+
+def test_scores_of_many_queries_are_those_of_each_pair(spark):
+    docs, queries = _odd(spark)
+    docs = docs.withColumn("blocks", passages.blocks(F.col("content"), by_line=True))
+    held = docs.join(queries, F.exists("terms", lambda t: (t != "") & F.contains(F.lower("content"), t)))
+    each = held.select("doc_id", "query_id", F.transform("blocks", lambda b: text.score_block(b["text"], F.col("terms"))).alias("s")).filter("size(s) > 0")
+    want = sorted((r.doc_id, r.query_id, len(r.s), functools.reduce(operator.add, r.s, 0.0), max(r.s)) for r in each.collect())
+    got = sorted(tuple(r) for r in passages.score_passages(docs, queries).collect())
+    assert got == want and len(got) > 15 and {r[1] for r in got} == {0, 1, 2, 4, 5, 6, 8}
+
+
+def test_passage_scores_pairs_no_texts_with_queries(spark):
+    from lodestar.plans import texts
+
+    plan = texts.passage_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Generate" not in plan
