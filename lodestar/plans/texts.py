@@ -198,10 +198,10 @@ def passage_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("passages_selected")
 def passages_selected(spark: SparkSession, d: str) -> DataFrame:
-    """Each document is cut into blocks once, however many queries ask it."""
-    content = F.replace("content", F.lit("\n"), F.lit("\n\n"))
-    rows = _holding(spark, d, content=content, blocks=passages.blocks(content))
-    return passages.select_passages(rows.select("doc_id", "query_id", "content", "terms", "blocks"))
+    """Each document is cut into blocks once, however many queries ask it, and each block is read once for all queries."""
+    content = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    docs = table(spark, d, "documents").select("doc_id", content.alias("content")).withColumn("blocks", passages.blocks(F.col("content")))
+    return passages.select_asked(docs, asked(spark, d).select("query_id", F.split("query", " ").alias("terms")))
 
 
 @query(

@@ -260,3 +260,22 @@ def test_passage_scores_pairs_no_texts_with_queries(spark):
 
     plan = texts.passage_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("most_chars", [900, 60])
+def test_passages_of_many_queries_are_those_of_each_pair(spark, most_chars):
+    docs, queries = _odd(spark)
+    docs = docs.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n"))).withColumn("blocks", passages.blocks(F.col("content")))
+    held = docs.join(queries, F.exists("terms", lambda t: (t != "") & F.contains(F.lower("content"), t)))
+    want = passages.select_passages(held, most_chars=most_chars, total_chars=1000)
+    got = passages.select_asked(docs, queries, most_chars=most_chars, total_chars=1000)
+    show = lambda df: sorted((r.doc_id, r.query_id, [tuple(p) for p in r.passages]) for r in df.collect())
+    assert got.columns == want.columns and got.schema["passages"].dataType.simpleString() == want.schema["passages"].dataType.simpleString()
+    assert show(got) == show(want) and (7, 0) in {(a, b) for a, b, _ in show(got)}
+
+
+def test_passages_selected_pairs_no_texts_with_queries(spark):
+    from lodestar.plans import texts
+
+    plan = texts.passages_selected(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan
