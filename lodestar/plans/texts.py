@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.config import Config
 from lodestar.functions import text
 from lodestar.operators import cache, fusion, index, passages, planner, research
+from lodestar.session import kept
 from lodestar.sources import payloads, registry
 
 from .common import TITLE, fused_sql, rankings, table, title_of
@@ -144,7 +145,7 @@ select query_id, doc_id, score, pos from (select s.query_id, doc_id, score, row_
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Search without stemming, which SQL can follow; ties in four decimals go by document."""
-    scored = index.bm25(index.build(corpus(spark, d), stemmed=False), asked(spark, d), stemmed=False).withColumn("score", F.round("score", 4))
+    scored = index.bm25(index.stored(corpus(spark, d), stemmed=False), asked(spark, d), stemmed=False).withColumn("score", F.round("score", 4))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("pos", place.cast("long")).filter("pos <= 10")
 
@@ -153,7 +154,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def search_index(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed search with highlighted snippets."""
     docs, queries = corpus(spark, d), asked(spark, d)
-    top = index.search(index.build(docs), queries, k=5)
+    # few rows of known size: they go to the documents, not the documents to them
+    top = kept(index.search(index.stored(docs), queries, k=5), "top")
     return index.highlight(top.join(docs, "doc_id").join(queries, "query_id")).select("query_id", "doc_id", "pos", "score", "snippet")
 
 

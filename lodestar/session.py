@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later steps don't repeat it, and Spark knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/lodestar-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local(cores: int | str = "*", partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A local session for tests and benches."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("lodestar").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")

@@ -279,3 +279,32 @@ def test_passages_selected_pairs_no_texts_with_queries(spark):
 
     plan = texts.passages_selected(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_a_stored_index_finds_what_a_built_one_finds(spark, stemmed):
+    docs = spark.createDataFrame([*DOCS, (6, None, "protocol protocols bean"), (7, "Beans", None), (8, "", "handshake of protocols, cooking by the protocol")], "doc_id long, title string, content string")
+    queries = spark.createDataFrame([(1, "proto"), (2, "\u4e0a\u4e0b\u6587"), (3, "protocols handshake"), (4, "CAFE"), (5, ""), (6, "bean"), (7, "proto hand cook"), (8, "\u7a97\u53e3 zzz")], "query_id long, query string")
+    found = [sorted(map(tuple, index.search(make(docs, stemmed), queries, stemmed=stemmed).collect())) for make in (index.build, index.stored)]
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2, 3, 4, 6, 7}
+
+
+def test_a_search_of_a_stored_index_shuffles_no_postings(spark):
+    """Words that no clause asks for are gone before anything is dealt out."""
+    docs = spark.range(200).selectExpr("id as doc_id", "'title' as title", "concat('needle', id % 2, ' ', array_join(transform(sequence(1, 300), i -> concat('word', id, 'x', i)), ' ')) as content")
+    queries = spark.createDataFrame([(1, "needle1 title")], "query_id long, query string")
+    built = index.stored(docs, stemmed=False)
+    hits = index.clause_hits(built, index.clauses(queries), stemmed=False)
+    assert hits.count() == 100 + 200
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(query_id")
+
+
+def test_search_index_and_bm25_topk_search_a_stored_index(spark, monkeypatch):
+    from lodestar.plans import texts
+
+    def refuse(*_, **__):
+        raise AssertionError("cuts texts into words for each table of the index")
+
+    monkeypatch.setattr(index, "build", refuse)
+    assert texts.bm25_topk(spark, "/root/testdata/sf0.001").count() > 0 and texts.search_index(spark, "/root/testdata/sf0.001").count() > 0
